@@ -281,7 +281,8 @@ def render(node: Node, depth: int = 0) -> list[str]:
             keep = keep or tag == "pre"
             if block:
                 todo.append(("end", tag, keep, None))
-            if tag in ("td", "th") and x is not node:
+            if tag in ("td", "th") and x is not node:  # a cell outside of a table
+                out.text(" ", False)
                 todo.append(("text", " ", False, None))
             todo.extend(("in", child, keep, None) for child in reversed(x.children))
     return out.finish()

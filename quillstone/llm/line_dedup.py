@@ -128,13 +128,14 @@ def kept_text(text: str, keep: bytes) -> str:
 
 
 def _joined(documents: DataFrame, least: int) -> DataFrame:
-    return _marked(documents).join(keep_bitmaps(documents, least), ["__doc", "__tag"], "left")
+    bitmaps = keep_bitmaps(documents, least).withColumnsRenamed({"n_dropped": "__n_dropped", "keep": "__keep"})
+    return _marked(documents).join(bitmaps, ["__doc", "__tag"], "left")
 
 
 def without_repeated_lines(documents: DataFrame, least: int = 10) -> DataFrame:
     """documents with the lines dropped; all columns, with n_chars (if there) that of the new text."""
     names = documents.columns
-    joined = _joined(documents, least).select(*names, F.col("keep").alias("__keep"))
+    joined = _joined(documents, least).select(*names, "__keep")
     at, keep = names.index("text"), len(names)
     chars = names.index("n_chars") if "n_chars" in names else None
 
@@ -164,5 +165,5 @@ def digests(documents: DataFrame, least: int = 10) -> DataFrame:
                 digest.append(hashlib.sha256((kept_text(t, k) if k is not None else t).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), b.column(2), pa.array(digest, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    joined = _joined(docs, least).select("doc_id", "text", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "keep")
+    joined = _joined(docs, least).select("doc_id", "text", F.coalesce("__n_dropped", F.lit(0)).cast("long").alias("n_dropped"), "__keep")
     return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_lines long, n_dropped long, kept_sha256 string")
