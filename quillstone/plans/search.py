@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import hash_embedding
-from ..operators import evidence, questions, rerank, retrieval
+from ..operators import answers, evidence, questions, rerank, retrieval
 from .tables import table
 
 #: The coarse tokens of a column, in SQL (the tables hold no CJK text).
@@ -406,7 +406,58 @@ def gold_summary(spark, sf_dir):
 GOLD = f"""WITH {_bm25_sql()} SELECT count(*) AS n_questions, round(avg(CASE WHEN contains(d.text, substr(b.text, 1, 60)) THEN 1 ELSE 0 END), 6) AS accuracy, round(avg(bm25_raw), 6) AS mean_score
 FROM hits JOIN documents d ON doc_id = chunk_id JOIN benchmark b ON item_id = qid WHERE rank = 1"""
 
+def numeric_conflicts(spark, sf_dir):
+    return answers.numeric_conflict(_evidence(spark, sf_dir).withColumn("query_type", F.lit("table_qa")))
+
+
+CONFLICTS = rf"""WITH {_EVIDENCE_SQL}, n AS (SELECT qid, unnest(list_slice(regexp_extract_all(content, '-?[0-9]+(?:,[0-9]{{3}})*(?:\.[0-9]+)?%?'), 1, 2)) AS number FROM e),
+c AS (SELECT qid, count(DISTINCT number) AS n FROM n GROUP BY qid)
+SELECT DISTINCT e.qid, coalesce(n, 0) >= 3 AS conflict_detected FROM e LEFT JOIN c ON e.qid = c.qid"""
+
+
+def answer_places(spark, sf_dir):
+    e = _evidence(spark, sf_dir).join(asked(spark, sf_dir), "qid")
+    rows = e.select("qid", "chunk_id", "question", F.col("doc_id").alias("doc_source"), F.lit("").alias("heading_path"), (F.col("chunk_id") % 9).cast("int").alias("page_idx"), (F.col("chunk_id") % 4).cast("int").alias("chunk_index"), F.lit("").alias("content"), "score")
+    return answers.answer_order(rows).select("qid", "chunk_id", "place")
+
+
+PLACES = f"""WITH {_EVIDENCE_SQL}
+SELECT qid, chunk_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY doc_id, chunk_id % 9, chunk_id % 4, score DESC, chunk_id) AS INTEGER) AS place FROM e"""
+
+
+def _typed(spark, sf_dir):
+    return questions.understood(asked(spark, sf_dir))
+
+
+def evidence_audit(spark, sf_dir):
+    rows = _evidence(spark, sf_dir)
+    gates = evidence.gate(_typed(spark, sf_dir), rows)
+    a = answers.merged_gate(gates, answers.audited(_typed(spark, sf_dir), rows))
+    return a.select("qid", "query_type", "rule_decision", "decision", F.array_join("missing_aspects", ",").alias("missing_aspects"), "evidence_coverage")
+
+
+def answer_texts(spark, sf_dir):
+    rows = _evidence(spark, sf_dir).withColumn("doc_source", F.col("doc_id"))
+    a = answers.answered(_typed(spark, sf_dir), rows)
+    return a.select("qid", "query_type", F.md5("answer").alias("answer"), "confidence")
+
+
+ANSWERS = f"""WITH {_EVIDENCE_SQL}
+SELECT qid, 'fact_lookup' AS query_type, md5('{answers.HEADS["fact"]}' || chr(10) || string_agg('- ' || content || ' [C' || rank || ']', chr(10) ORDER BY rank)) AS answer, round(max(score), 4) AS confidence FROM e GROUP BY qid"""
+
+
+def focused_snippets(spark, sf_dir):
+    e = _evidence(spark, sf_dir).join(asked(spark, sf_dir), "qid")
+    s = answers.focused_snippet(F.col("question"), F.col("content"), F.col("chunk_type") == "table")
+    return e.select("qid", "chunk_id", F.length(s).alias("n_chars"), F.md5(s).alias("digest"))
+
+
 QUERIES = {
+    "numeric_conflict": (numeric_conflicts, CONFLICTS),
+    "answer_order": (answer_places, PLACES),
+    "rule_audit": (evidence_audit, None),
+    "answer_texts": (answer_texts, ANSWERS),
+    "snippet_window": (focused_snippets, None),
     "text_normalized": (text_normalized, TEXT_NORMALIZED),
     "text_tokens": (text_tokens, TEXT_TOKENS),
     "text_facts": (text_facts, TEXT_FACTS),
