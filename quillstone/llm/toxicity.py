@@ -150,7 +150,7 @@ def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0) -> ToxicityMo
     cache: dict[bytes, int] = {}
     x = np.concatenate([model.features(t, cache) for ts in (bad, good) for _, t in pieces(pa.array([b.decode() for b in ts]))])
     y = np.concatenate([np.ones(len(bad)), np.zeros(len(good))])
-    # a class counts as half of the rows: the threshold of 0.5 doesn't depend on how many rows of each were sampled
+    # a class counts as half of the rows, so that a few toxic rows still shape the weights
     weight = np.where(y == 1, 0.5 / len(bad), 0.5 / len(good)) * len(y)
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -160,6 +160,7 @@ def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0) -> ToxicityMo
         w -= step
         if np.abs(step).max() < 1e-6:
             break
+    w[0] += np.log(len(bad) / len(good))  # back to the odds of the sample, so that ordinary texts are left alone
     model.weights = w
     return model
 

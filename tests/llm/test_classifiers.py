@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.llm import language_id, queries, toxicity
+from quillstone.llm import language_id, toxicity
+from quillstone.llm.queries import op1_language_id, op4_toxicity
 
 
 def test_language_code_lengths_by_definition():
@@ -50,7 +51,7 @@ def test_language_code_lengths_by_definition():
 
 
 def test_language_accuracy(spark, sf):
-    out = queries.op1_language_id(spark, sf.replace("0.001", "0.01")).collect()
+    out = op1_language_id(spark, sf.replace("0.001", "0.01")).collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()}
     held = [r for r in out if r["held_out"]]
     assert len(out) == len(docs) and all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in out)
@@ -78,7 +79,7 @@ def area(scores, labels):
 
 def test_toxicity_held_out(spark, sf):
     big = sf.replace("0.001", "0.1")
-    out = spark.createDataFrame(queries.op4_toxicity(spark, big).where("held_out").toPandas())
+    out = spark.createDataFrame(op4_toxicity(spark, big).where("held_out").toPandas())
     rows = out.join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").collect()
     score, label = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
     assert area(score, label) > 0.93
