@@ -4,15 +4,17 @@
    bands' hashes, an odd sketch (a bitmap that holds the parity of the
    signature's samples) and a 128-bit digest of the set. Sets that are equal
    are one from here on, so exact copies cost nothing more.
-2. Each band bucket links its members to its smallest member only. A pair's
-   sketches must allow the similarity (the XOR's population count estimates
-   it), then the full shingle sets are compared exactly.
-3. Connected components of the confirmed links.
-4. Buckets whose members are still in several components are dealt out in
-   blocks; within and between blocks, sketches of members of different
-   components are compared in numpy, and only pairs that can be similar leave
-   the task, to be confirmed on full sets as well. So a large group of near
-   copies is never expanded into all its pairs.
+2. Each band bucket pairs its members with its smallest member only. Sketches
+   choose the nearest of a document's partners, if they allow the similarity
+   (the XOR's population count estimates it), then the full shingle sets are
+   compared exactly. Connected components of the links follow.
+3. In buckets that still hold several components, members outside the largest
+   one are compared with other members of it, in the same way.
+4. What is then left, documents outside the main component of a group that
+   shares buckets, is a query set against the whole group, in blocks. A block
+   compares sketches, then full sets, the likeliest pairs first, and gives out
+   a spanning forest of the links that it finds. So no step makes all pairs of
+   a group, and no link between components is lost.
 
 The default is 52 bands of 7 rows: a pair with a similarity of 0.8 shares no
 bucket with a probability of 5e-6; the sketch rejects such a pair with one of
@@ -40,8 +42,12 @@ from ._arrow import cut, hashes, lowered, mix, pieces, words
 BANDS, ROWS, SKETCH_BITS = 52, 7, 512
 #: A pair goes on to the exact comparison if its sketches estimate at least the similarity less this.
 SLACK = 0.25
-#: Members of a bucket that meet in one block of a task.
-BLOCK = 2048
+#: Documents of either side that meet in one block of a task.
+BLOCK = 512
+#: Links (16 bytes each) of a task of the connected components.
+LINKS_PER_TASK = 250_000
+#: Members of a bucket's largest component that stand for it, by the bucket.
+HUBS = 8
 
 _SEED = np.random.default_rng(20240607)
 _A = (_SEED.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -146,42 +152,51 @@ def _sets(documents: DataFrame, k: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, members array<long>")
 
 
-def _within_blocks(similarity: float):
-    limit = most_differing(similarity)
+def _across_blocks(percent: int):
+    """Exact links between components, inside blocks of (cluster, left, right), which arrive sorted."""
+    limit = most_differing(percent / 100)
+
+    def links(rows: pa.Table) -> pa.RecordBatch | None:
+        rows = rows.combine_chunks()
+        ids, root, side = (rows.column(c).to_numpy().copy() for c in ("doc_id", "component", "side"))
+        bits = rows.column("sketch").chunk(0).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        members = rows.column("members").chunk(0)
+        ends = np.asarray(members.offsets)
+        flat = members.values.to_numpy()
+        sizes = np.diff(ends)
+        right = np.flatnonzero(side == 1)
+        found = []
+        for i in np.flatnonzero(side == 0):
+            js = right[root[right] != root[i]]
+            small, large = np.minimum(sizes[js], sizes[i]), np.maximum(sizes[js], sizes[i])
+            js = js[100 * small >= percent * large]
+            differing = np.bitwise_count(bits[js] ^ bits[i]).sum(1)
+            # the likeliest first: a link makes the rest of its component superfluous
+            for j in js[np.argsort(differing, kind="stable")][: int((differing <= limit).sum())]:
+                if root[j] == root[i]:
+                    continue
+                common = len(np.intersect1d(flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]], assume_unique=True))
+                if 100 * common >= percent * (sizes[i] + sizes[j] - common):
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    root[root == root[j]] = root[i]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"]) if found else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows (bucket, left, right, side, doc_id, component, sketch): pairs of a block that can be similar."""
-
-        def pairs(rows: pa.Table) -> pa.RecordBatch | None:
-            ids, comp, side = (rows.column(c).to_numpy() for c in ("doc_id", "component", "side"))
-            bits = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
-            diagonal = rows.column("left")[0].as_py() == rows.column("right")[0].as_py()
-            lefts, rights = (np.arange(len(ids)),) * 2 if diagonal else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            a, b = [], []
-            for i in lefts:
-                js = rights[rights > i] if diagonal else rights
-                js = js[comp[js] != comp[i]]
-                js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(1) <= limit]
-                a.append(np.full(len(js), ids[i]))
-                b.append(ids[js])
-            a, b = np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]) if len(a) else None
-
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "left", "right")], 1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("cluster", "left", "right")], 1)
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if key is not None and tuple(keys[x]) != key and held:
-                    if (found := pairs(pa.Table.from_batches(held))) is not None:
+                if held and tuple(keys[x]) != key:
+                    if (found := links(pa.Table.from_batches(held))) is not None:
                         yield found
                     held = []
                 key = tuple(keys[x])
                 held.append(batch.slice(x, y - x))
-        if held and (found := pairs(pa.Table.from_batches(held))) is not None:
+        if held and (found := links(pa.Table.from_batches(held))) is not None:
             yield found
 
     return run
@@ -195,72 +210,98 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     state = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
+        if tuple(now) == state or not now[0]:
             break
         state = tuple(now)
-    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        # links are small rows: as many tasks as their number asks for
+        tasks = max(8, now[0] // LINKS_PER_TASK)
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        edges = cut(small.where("u <> v").coalesce(tasks).distinct().coalesce(tasks))
+    nodes = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text)."""
-    similarity = percent / 100
     described = cut(_described(documents, shingle))
     full = described.where("n_shingles > 0 and doc_id is not null")
     # one row for each set that differs, with what the search needs
     unique = cut(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     reps = unique.select("digest", "rep")
+    sketches = unique.select("rep", "sketch")
     bands = unique.select("rep", F.explode("bands").alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("bucket", "hub")
     shared = cut(bands.join(hubs, "bucket"))
 
-    sketches = unique.select("rep", "sketch")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        """Full sets of the documents of ids (doc_id, distinct)."""
+        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+        return _sets(texts, shingle).where(F.size("members") > 0)
 
     def popcount(x: str, y: str):
         bits = [F.bit_count(F.element_at(x, i).bitwiseXOR(F.element_at(y, i))) for i in range(1, SKETCH_BITS // 64 + 1)]
         return sum(bits[1:], bits[0])
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar."""
-        pairs = cut(pairs)
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        # with repeated ids, the text that the set's digest came from: any row of the id may differ, so all of them are tried
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        sets = _sets(texts, shingle)
-        left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b")
-        both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
+        """Links (a, b) of pairs (rep, hub, part): of a rep's hubs in a part, the one with the nearest sketch, if the full sets are similar."""
+        near = pairs.distinct().join(sketches.select("rep", F.col("sketch").alias("x")), "rep").join(sketches.select(F.col("rep").alias("hub"), F.col("sketch").alias("y")), "hub")
+        near = near.select("rep", "part", F.struct(popcount("x", "y").alias("d"), "hub").alias("h")).where(F.col("h.d") <= most_differing(percent / 100))
+        near = cut(near.groupBy("rep", "part").agg(F.min("h").alias("h")).select(F.col("rep").alias("b"), F.col("h.hub").alias("a")))
+        sets = cut(sets_of(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()))
+        both = near.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y"))
-        return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
+        return cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
-    pairs = shared.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b").join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a")
-    first = cut(confirmed(pairs.where(popcount("x", "y") <= most_differing(similarity)).select("a", "b")))
+    # each bucket's members and its smallest member
+    links = confirmed(shared.where("rep <> hub").select("rep", "hub", F.lit(0).alias("part")))
     # rows that repeat an id with another set are linked through the id
     again = full.groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("doc_id")
     again = full.join(again, "doc_id").select("digest", F.col("doc_id").alias("b")).distinct().join(reps.select("digest", F.col("rep").alias("a")), "digest").select("a", "b")
-    first = first.unionByName(again)
-    comp = cut(components(first))
-
-    rows = shared.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high")
-    rows = rows.join(mixed.select("bucket", "n"), "bucket").join(sketches, "rep")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # block i meets itself and each other block once
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other).select("bucket", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), (F.col("own") > F.col("other")).cast("int").alias("side"), F.col("rep").alias("doc_id"), "component", "sketch")
-    rows = rows.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
-    more = rows.mapInArrow(_within_blocks(similarity), "a long, b long").distinct()
-    second = cut(confirmed(more))
-    if not second.isEmpty():
-        comp = cut(components(first.unionByName(second)))
+    links = cut(links.unionByName(again))
+    comp = cut(components(links))
+
+    def mixed() -> DataFrame:
+        """bucket, rep, component, size, hub, hub_component of buckets with several components; the hub is of the largest one, and differs with the bucket."""
+        sizes = comp.groupBy("component").agg(F.count("*").alias("size"))
+        known = comp.join(sizes, "component").select(F.col("node").alias("rep"), "component", "size")
+        rows = shared.select("bucket", "rep").join(known, "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+        order = F.struct("size", "component", F.xxhash64("rep", F.pmod("bucket", F.lit(HUBS))))
+        chosen = rows.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct(F.col("rep").alias("hub"), F.col("component").alias("hub_component")), order).alias("h"))
+        return cut(rows.join(chosen.where("low < high").select("bucket", "h.*"), "bucket"))
+
+    # members that are in another component than most of their bucket, and other members of that
+    apart = mixed().where("component <> hub_component").select("rep", "hub", F.col("hub_component").alias("part"))
+    more = confirmed(apart)
+    if not more.isEmpty():
+        links = cut(links.unionByName(more))
+        comp = cut(components(links))
+
+    # what is left: groups of documents that share buckets, but are in several components
+    left = mixed()
+    if not left.isEmpty():
+        grouped = components(left.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
+        members = cut(grouped.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(left.select("rep", "component").distinct(), "rep"))
+        by_component = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+        clusters = by_component.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_apart")).where("n_apart > 0")
+        rows = members.join(clusters, "cluster").join(sketches, "rep").withColumnRenamed("rep", "doc_id")
+        rows = cut(rows.join(sets_of(members.select(F.col("rep").alias("doc_id"))), "doc_id"))
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        own = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        columns = ["doc_id", "component", "sketch", "members"]
+        # documents outside their cluster's main component, against the whole cluster, in blocks
+        asks = rows.where("component <> main").select("cluster", own("n_apart").alias("left"), every("n").alias("right"), F.lit(0).alias("side"), *columns)
+        answers = rows.select("cluster", every("n_apart").alias("left"), own("n").alias("right"), F.lit(1).alias("side"), *columns)
+        dealt = asks.unionByName(answers).repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
+        last = cut(dealt.mapInArrow(_across_blocks(percent), "a long, b long"))
+        if not last.isEmpty():
+            comp = cut(components(links.unionByName(last)))
 
     classes = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("found"))
     out = described.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(classes, "digest", "left")
