@@ -84,13 +84,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, ru
     # slots of the items in the windows found, and what stands for them in the documents
     item_slots = _slots(items, "slot", "item_value", "item_id").distinct()
     covered = found.join(F.broadcast(item_slots), (found["item_id"] == item_slots["item_id"]) & F.col("slot").between(F.col("item_at"), F.col("item_at") + (window - 1))).select("doc_id", "tag", found["item_id"], "diagonal", "slot", "item_value").distinct()
-    with_slots = covered.select("doc_id").distinct()
-    texts = docs.join(with_slots, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("tokens"))
-    values = _slots(texts, "place", "value", "doc_id", "tag").distinct()
-    compared = covered.withColumn("place", (F.col("slot") + F.col("diagonal")).cast("int")).join(values, ["doc_id", "tag", "place"])
-    alignment = ["doc_id", "tag", "item_id", "diagonal"]
-    torn = compared.groupBy(*alignment, "item_value").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select(*alignment).distinct()
-    left = found.join(torn, alignment, "left_anti")
+    covered = cut(covered)
+    left = found
+    if not covered.isEmpty():
+        ids = covered.select("doc_id").distinct()
+        few = ids.count() <= BROADCAST_WINDOWS
+        texts = cut(docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"))
+        texts = texts.select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("tokens"))
+        values = _slots(texts, "place", "value", "doc_id", "tag").distinct()
+        compared = covered.withColumn("place", (F.col("slot") + F.col("diagonal")).cast("int")).join(values, ["doc_id", "tag", "place"])
+        alignment = ["doc_id", "tag", "item_id", "diagonal"]
+        torn = compared.groupBy(*alignment, "item_value").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select(*alignment).distinct()
+        left = found.join(torn, alignment, "left_anti")
 
     counted = left.groupBy("doc_id", "tag", "item_id").agg(F.count_distinct("item_at").alias("n_windows")).join(F.broadcast(sizes), "item_id")
     enough = F.least(F.lit(run - window + 1), F.ceil(F.col("item_windows") / 2))
