@@ -128,8 +128,11 @@ def _dictionary(samples: list[bytes]) -> bytes:
     return content.rjust(DICT_BYTES, b"\n")[-DICT_BYTES:] + HEAD
 
 
-def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0) -> ToxicityModel:
-    """Train both dictionaries and calibrate the thresholds on whole labelled texts."""
+def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0, odds: float | None = None) -> ToxicityModel:
+    """Train both dictionaries and calibrate the thresholds on whole labelled texts.
+
+    odds: toxic to ordinary rows where the texts were drawn from; by default those of the texts.
+    """
     if not toxic or not ordinary:
         return ToxicityModel(b"", b"")
     bad = [t.encode().translate(LOWER) for t in dict.fromkeys(toxic)]
@@ -160,13 +163,13 @@ def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0) -> ToxicityMo
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    w[0] += np.log(len(bad) / len(good))  # back to the odds of the sample, so that ordinary texts are left alone
+    w[0] += np.log(odds or len(bad) / len(good))  # back to the odds of all rows, so that ordinary texts are left alone
     model.weights = w
     return model
 
 
 def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1000, ordinary_rows: int = 2000, max_chars: int = 8000) -> ToxicityModel:
-    """Fit on a bounded sample of labelled rows.
+    """Fit on a bounded sample of labelled rows, at the odds of all of them.
 
     documents: doc_id, text; labels: doc_id, toxic (1 or 0; other values and
     null ids are no labels, a document that has both counts as toxic).
@@ -183,7 +186,8 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1000, ordin
     texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0])
+    odds = counts[1] / counts[0] if counts.get(1) and counts.get(0) else None
+    return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], odds=odds)
 
 
 def scored(documents: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:

@@ -98,3 +98,15 @@ def test_toxicity_edge_cases(spark):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 31
     empty = toxicity.train(docs, labels.limit(0))
     assert {r["score"] for r in toxicity.scored(docs, empty).collect()} == {0.0} and toxicity.scored(docs.limit(0), model).count() == 0
+
+
+def test_toxicity_odds_past_both_limits(spark):
+    """The same population at ten times the rows, of which both samples are full, is given the same odds."""
+    means = []
+    for n in (1000, 10_000):
+        # one row in ten is toxic; a tenth of either class reads like the other
+        rows = [(i, f"you vileword number {i} here" if (i % 10 == 0) ^ (i // 10 % 10 == 0) else f"some ordinary words {i} in a text", int(i % 10 == 0)) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), toxic_rows=400, ordinary_rows=800)
+        means.append(model.score(pa.array([t for _, t, _ in rows]), {}).mean())
+    assert np.allclose(means, 0.1, atol=0.03), means
