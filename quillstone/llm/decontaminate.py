@@ -5,9 +5,11 @@ Numbers, units of measure and names (a capitalised word after another word or
 a comma, so not one that begins a sentence) become typed placeholders, other
 tokens are in lower case. Windows of tokens of both sides are hashed and
 joined, so a question with other numbers or names still matches its template.
-On a diagonal (one alignment of document and item) the slots are then
-compared: a value of the item must stand for one value of the document
-throughout; alignments where it doesn't are dropped. A document is
+On each stretch of consecutive windows of a diagonal (one alignment of
+document and item) the slots are then compared. A value of the item (a number
+with its unit) should stand for one value of the document: a slot that has
+neither the item's own value nor that of most slots of its value conflicts, and
+the windows that hold it are dropped, no others. A document is
 contaminated by an item if the windows left cover `run` tokens of the item, or
 half of its windows. DataFrame functions only: no Python runs on executors.
 
@@ -24,7 +26,7 @@ placeholder is too general and is left out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._arrow import cut
@@ -56,6 +58,14 @@ def _windows(kinds: str, n: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(kinds, i, F.lit(n))))
 
 
+def _keys(items: DataFrame) -> DataFrame:
+    """item_id, slot, item_value and key: what must stand for one value, so 5 dollars and 5 days are two."""
+    unit = lambda i: F.when(F.get("tokens", i + 1).isin(*UNITS), F.concat(F.lit(" "), F.get("tokens", i + 1))).otherwise("")
+    keys = F.transform("tokens", lambda t, i: F.struct(t.alias("item_value"), F.when(t.startswith(NUMBER), F.concat(t, unit(i))).otherwise(t).alias("key")))
+    out = items.select("item_id", F.posexplode(keys).alias("slot", "x")).select("item_id", "slot", "x.item_value", "x.key")
+    return out.where(kind(F.col("item_value")).startswith("\x01")).distinct()
+
+
 def _slots(df: DataFrame, place: str, value: str, *keys: str) -> DataFrame:
     """The places and values of placeholders in the column tokens."""
     out = df.select(*keys, F.posexplode("tokens").alias(place, value))
@@ -82,8 +92,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, ru
     found = cut(own.join(side, "hash").select("doc_id", "tag", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("diagonal")))
 
     # slots of the items in the windows found, and what stands for them in the documents
-    item_slots = _slots(items, "slot", "item_value", "item_id").distinct()
-    covered = found.join(F.broadcast(item_slots), (found["item_id"] == item_slots["item_id"]) & F.col("slot").between(F.col("item_at"), F.col("item_at") + (window - 1))).select("doc_id", "tag", found["item_id"], "diagonal", "slot", "item_value").distinct()
+    alignment = ["doc_id", "tag", "item_id", "diagonal"]
+    item_slots = _keys(items)
+    found = found.distinct().withColumn("stretch", F.col("item_at") - F.row_number().over(Window.partitionBy(*alignment).orderBy("item_at")))
+    covered = found.join(F.broadcast(item_slots), (found["item_id"] == item_slots["item_id"]) & F.col("slot").between(F.col("item_at"), F.col("item_at") + (window - 1))).select("doc_id", "tag", found["item_id"], "diagonal", "stretch", "slot", "item_value", "key").distinct()
     covered = cut(covered)
     left = found
     if not covered.isEmpty():
@@ -93,9 +105,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, ru
         texts = texts.select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("tokens"))
         values = _slots(texts, "place", "value", "doc_id", "tag").distinct()
         compared = covered.withColumn("place", (F.col("slot") + F.col("diagonal")).cast("int")).join(values, ["doc_id", "tag", "place"])
-        alignment = ["doc_id", "tag", "item_id", "diagonal"]
-        torn = compared.groupBy(*alignment, "item_value").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high").select(*alignment).distinct()
-        left = found.join(torn, alignment, "left_anti")
+        stretch = [*alignment, "stretch"]
+        same, all_slots = (F.count("*").over(Window.partitionBy(*stretch, "key", *more)) for more in (["value"], []))
+        torn = compared.withColumns({"same": same, "slots": all_slots}).where("value <> item_value and 2 * same <= slots").select(*stretch, "slot").alias("torn")
+        on = [F.col(f"found.{c}") == F.col(f"torn.{c}") for c in stretch]
+        left = found.alias("found").join(torn, [*on, F.col("slot").between(F.col("item_at"), F.col("item_at") + (window - 1))], "left_anti")
 
     counted = left.groupBy("doc_id", "tag", "item_id").agg(F.count_distinct("item_at").alias("n_windows")).join(F.broadcast(sizes), "item_id")
     enough = F.least(F.lit(run - window + 1), F.ceil(F.col("item_windows") / 2))

@@ -38,6 +38,22 @@ def test_inconsistent_slots(spark):
     assert {r["doc_id"] for r in decontaminate.contaminated(d, b).collect()} == {1}
 
 
+def test_conflicting_slots_drop_only_their_windows(spark):
+    """One changed name, and one number in two unrelated slots, in items that match at length elsewhere."""
+    items = [
+        (1, "then Anna gave the coins to her and Anna took the stones from the wide field before Anna went home with all of her old friends and slept until the morning"),
+        (2, "the man who paid 5 dollars for the book then had to read it in 5 days before the library closed"),
+    ]
+    docs = [
+        (1, "so " + items[0][1].replace("before Anna", "before Eva")),
+        (2, "so " + items[1][1].replace("5 dollars", "7 dollars").replace("5 days", "9 days")),
+        (3, "so " + items[1][1]),
+        (4, "so then Bob gave the coins to her and Max took the stones from the wide field before Eva went home"),
+    ]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()} == {(1, 1), (2, 2), (3, 2)}
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, FILL)], "doc_id long, text string")
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
