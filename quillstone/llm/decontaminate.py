@@ -11,17 +11,21 @@ with its unit) should stand for one value of the document: a slot that has
 neither the item's own value nor that of most slots of its value conflicts, and
 the windows that hold it are dropped, no others. A document is
 contaminated by an item if the windows left cover `run` tokens of the item, or
-half of its windows. DataFrame functions only: no Python runs on executors.
+half of its windows. An item without a usable window (short, or of too few
+literal tokens) contaminates the documents that hold all of its tokens in a row,
+with equal values. DataFrame functions only: no Python runs on executors.
 
 Only rows of documents that match a window are shuffled; the documents' own
 windows are streamed past the benchmark's, which are broadcast if there are at
 most BROADCAST_WINDOWS of them and shuffled otherwise.
 
-Defined results: null and empty texts have no window. Items of fewer tokens
-than a window, or with a null id or text, are never found. Null doc_ids can't
+Defined results: null and empty texts have no window. Items without a token, or
+with a null id or text, are never found. An item of one word is found in each
+document with that word. Null doc_ids can't
 be reported and are passed over; rows that repeat a doc_id are checked one by
 one and reported once. A window with fewer than `literals` tokens that are no
-placeholder is too general and is left out.
+placeholder is too general and is left out; so is its item's template, if it
+has no other window, but not its wording.
 """
 
 from __future__ import annotations
@@ -58,6 +62,36 @@ def _windows(kinds: str, n: int) -> Column:
     return F.transform(places, lambda i: F.xxhash64(F.slice(kinds, i, F.lit(n))))
 
 
+def _literal(tokens: str | Column) -> Column:
+    """The tokens as they stand: a name's mark depends on what is before it."""
+    return F.transform(tokens, lambda t: F.when(t.startswith("\x01"), F.substring(t, 3, 1 << 30)).otherwise(t))
+
+
+def _verbatim(docs: DataFrame, items: DataFrame, window: int) -> DataFrame | None:
+    """doc_id, item_id, n_windows, item_windows of items that documents hold token by token; None without items.
+
+    An item of fewer tokens than a window is one window of its own length; of
+    a longer one, all windows must be on a diagonal.
+    """
+    width = F.least(F.size("literal"), F.lit(window))
+    items = items.select("item_id", _literal("tokens").alias("literal")).distinct().withColumn("width", width)
+    at = F.transform(F.sequence(F.lit(1), F.size("literal") - F.col("width") + 1), lambda i: F.xxhash64(F.slice("literal", i, F.col("width"))))
+    keyed = items.select("item_id", F.xxhash64("literal").alias("item_tag"), "width", (F.size("literal") - F.col("width") + 1).alias("item_windows"), F.posexplode(at).alias("item_at", "hash"))
+    keyed = cut(keyed)
+    widths = sorted(r["width"] for r in keyed.select("width").distinct().collect())
+    if not widths:
+        return None
+    side = F.broadcast(keyed) if keyed.count() <= BROADCAST_WINDOWS else keyed
+    literal = docs.select("doc_id", F.xxhash64("text").alias("tag"), _literal(tokens(F.col("text"))).alias("literal"))
+    placed = lambda n: F.transform(_windows("literal", n), lambda h, i: F.struct(F.lit(n).alias("width"), i.alias("at"), h.alias("hash")))
+    each = [placed(n) for n in widths]
+    own = literal.select("doc_id", "tag", F.explode(F.concat(*each)).alias("w")).select("doc_id", "tag", "w.*")
+    found = own.join(side, ["width", "hash"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
+    counted = found.groupBy("doc_id", "tag", "item_id", "item_tag", "item_windows", "diagonal").agg(F.count_distinct("item_at").alias("n_windows"))
+    whole = counted.where("n_windows = item_windows")
+    return whole.select("doc_id", "item_id", F.col("n_windows").cast("long"), F.col("item_windows").cast("long"))
+
+
 def _keys(items: DataFrame) -> DataFrame:
     """item_id, slot, item_value and key: what must stand for one value, so 5 dollars and 5 days are two."""
     unit = lambda i: F.when(F.get("tokens", i + 1).isin(*UNITS), F.concat(F.lit(" "), F.get("tokens", i + 1))).otherwise("")
@@ -85,6 +119,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, ru
     sizes = windows.groupBy("item_id").agg(F.count_distinct("item_at").alias("item_windows"))
     side = F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows
 
+    usable = F.exists(F.sequence(F.lit(1), F.size("kinds") - (window - 1)), lambda i: F.size(F.filter(F.slice("kinds", i, F.lit(window)), lambda k: ~k.startswith("\x01"))) >= literals)
+    rest = items.where("size(tokens) > 0").where(~F.when(F.size("kinds") >= window, usable).otherwise(F.lit(False)))
+
     docs = documents.select(F.col("doc_id"), "text").where("doc_id is not null and text is not null")
     cutup = docs.select("doc_id", F.xxhash64("text").alias("tag"), tokens(F.col("text")).alias("tokens"))
     kinds = cutup.select("doc_id", "tag", F.transform("tokens", kind).alias("kinds"))
@@ -113,7 +150,11 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 8, ru
 
     counted = left.groupBy("doc_id", "tag", "item_id").agg(F.count_distinct("item_at").alias("n_windows")).join(F.broadcast(sizes), "item_id")
     enough = F.least(F.lit(run - window + 1), F.ceil(F.col("item_windows") / 2))
-    return counted.where(F.col("n_windows") >= enough).groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"))
+    pairs = counted.where(F.col("n_windows") >= enough).select("doc_id", "item_id", "n_windows", "item_windows")
+    verbatim = _verbatim(docs, rest, window)
+    if verbatim is not None:
+        pairs = pairs.unionByName(verbatim)
+    return pairs.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.max("item_windows").alias("item_windows"))
 
 
 def without_benchmark(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

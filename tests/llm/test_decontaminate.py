@@ -54,6 +54,27 @@ def test_conflicting_slots_drop_only_their_windows(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()} == {(1, 1), (2, 2), (3, 2)}
 
 
+def test_items_without_a_usable_window(spark):
+    """Short items, and items of numbers, are found where a document holds them as they stand."""
+    numbers = "add 12 34 56 78 90 11 22 33 44 55"
+    items = [(1, "What is the capital of France?"), (2, numbers), (3, "Anna has 3 dogs"), (4, ""), (5, ITEMS[1][1])]
+    docs = [
+        (1, FILL + "so asked, What is the capital of France? " + FILL),
+        (2, FILL + "what is the capital of spain? " + FILL),
+        (3, FILL + numbers + " " + FILL),
+        (4, FILL + numbers.replace("90", "91")),
+        (5, "Then Anna has 3 dogs, and Peter has 4 dogs."),
+        (6, "Anna has 4 dogs. Eva has 3 dogs."),
+        (7, ITEMS[1][1]),
+        (8, None),
+        (9, "add 12 34 56 78 90 11 22 33 or 34 56 78 90 11 22 33 44 55"),
+    ]
+    b, d = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (7, 5)}
+    assert {r["doc_id"] for r in decontaminate.without_benchmark(d, b).collect()} == {2, 4, 6, 8, 9}
+
+
 def test_empty(spark):
     d = spark.createDataFrame([(1, FILL)], "doc_id long, text string")
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
