@@ -3,7 +3,8 @@
 Words are hashed, n-grams of several lengths get rolling hashes, and a word
 counts as repeated if it lies in an n-gram that the text has at least twice.
 A rule compares the share of the words' characters that are repeated (for each
-length) and of those in lines equal to an earlier line with its limit.
+length) and of those in lines equal to an earlier line with its limit. Next to
+these limits, one repetition of one short line is allowed.
 
 Defined results: null, empty and word-less texts have zero counts and fail the
 base rule of 20 words. Each row gives one row, repeated rows and null ids
@@ -21,11 +22,13 @@ from pyspark.sql import DataFrame
 
 from ._arrow import hashes, mix, pieces, utf8, words
 
-#: Largest share of characters in duplicated n-grams of so many words. A short text that repeats one line once has up to a
-#: quarter of its characters there, so the limits lie above that, as the base rule's does.
-NGRAM_LIMITS = {5: 0.30, 6: 0.30, 7: 0.30, 8: 0.30, 9: 0.30, 10: 0.30}
+#: Largest share of characters in duplicated n-grams of so many words, the published limits of a common rule set.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 #: Largest share of characters in lines that are equal to an earlier line.
-LINE_LIMIT = 0.25
+LINE_LIMIT = 0.20
+#: A short text that repeats one line once has up to a quarter of its characters there. So one repetition of one line of at
+#: most so many words is left out of the shares, as long as they are under these limits with it.
+ONE_LINE_WORDS, ONE_LINE_NGRAMS, ONE_LINE_LINES = 20, 0.30, 0.25
 #: The base rule: fewest words, window of repeated words, and largest percentage of words in repeated windows.
 LEAST_WORDS, BASE_WINDOW, BASE_PERCENT = 20, 8, 30
 
@@ -66,7 +69,7 @@ def repetition(texts: pa.Array) -> dict[str, np.ndarray]:
     of = lambda values, bounds: (x := total(values))[bounds[1:]] - x[bounds[:-1]]
     out = {"n_words": np.diff(offsets), "word_chars": of(sizes, offsets), "n_symbols": of(_SYMBOL[raw].astype(np.int64), ends)}
     # lines that have a word and are equal to an earlier line of the text
-    n_dup, dup_chars = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    n_dup, dup_chars, one_line = (np.zeros(len(texts), np.int64) for _ in range(3))
     for i, text in enumerate(texts.to_pylist()):
         if "\n" in text:
             seen: set[str] = set()
@@ -74,15 +77,23 @@ def repetition(texts: pa.Array) -> dict[str, np.ndarray]:
                 if line in seen:
                     if parts := line.encode().split():
                         n_dup[i] += 1
-                        dup_chars[i] += sum(len(p.decode()) for p in parts)
+                        size = sum(len(p.decode()) for p in parts)
+                        dup_chars[i] += size
+                        if len(parts) <= ONE_LINE_WORDS:
+                            one_line[i] = max(one_line[i], size)
                 else:
                     seen.add(line)
-    out |= {"n_dup_lines": n_dup, "n_repeat_words": of(covered(offsets, h, BASE_WINDOW).astype(np.int64), offsets), "dup_line_chars": dup_chars}
+    out |= {"n_dup_lines": n_dup, "n_repeat_words": of(covered(offsets, h, BASE_WINDOW).astype(np.int64), offsets), "dup_line_chars": dup_chars, "one_line_chars": one_line}
     for n in NGRAM_LIMITS:
         out[f"dup_chars_{n}"] = of(np.where(covered(offsets, h, n), sizes, 0), offsets)
     return out
 
 
+def within(repeated: np.ndarray, one_line: np.ndarray, chars: np.ndarray, limit: float, most: float) -> np.ndarray:
+    """Whether the repeated characters are under the limit, or are without one line's and under `most` with it."""
+    return (repeated <= limit * chars) | ((repeated - one_line <= limit * chars) & (repeated <= most * chars))
+
+
 def judged(documents: DataFrame) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, and the characters in duplicated lines and n-grams."""
     kind = documents.schema["doc_id"].dataType.simpleString()
@@ -95,9 +106,10 @@ def judged(documents: DataFrame) -> DataFrame:
                 x = repetition(texts)
                 failed = (x["n_words"] < LEAST_WORDS) | (100 * x["n_repeat_words"] > BASE_PERCENT * x["n_words"])
                 chars = np.maximum(x["word_chars"], 1)
-                good = x["dup_line_chars"] <= LINE_LIMIT * chars
+                good = within(x["dup_line_chars"], x["one_line_chars"], chars, LINE_LIMIT, ONE_LINE_LINES)
                 for n, limit in NGRAM_LIMITS.items():
-                    good &= x[f"dup_chars_{n}"] <= limit * chars
+                    # both places of the line are in duplicated n-grams
+                    good &= within(x[f"dup_chars_{n}"], 2 * x["one_line_chars"], chars, limit, ONE_LINE_NGRAMS)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), *(pa.array(x[c]) for c in counts), pa.array(failed), pa.array(good & ~failed), *(pa.array(x[c]) for c in more)], ["doc_id", *counts, "base_failed", "kept", *more])
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in counts)}, base_failed boolean, kept boolean, {', '.join(f'{c} long' for c in more)}")

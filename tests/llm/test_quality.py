@@ -22,3 +22,16 @@ def test_verdicts(spark):
     got = {r["doc_id"]: r["kept"] for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: True, 2: False, 3: False}
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_limits_of_long_and_short_texts(spark):
+    """A quarter of boilerplate is too much in a long page; a short text may repeat one short line once."""
+    boilerplate = "\n".join(" ".join(f"b{i}x{j}" for j in range(10)) for i in range(250))
+    plain = " ".join(f"word{i}" for i in range(15_000))
+    line = "one line of ten words comes at start and end"
+    short = f"{line}\n" + " ".join(f"w{i}" for i in range(100)) + f"\n{line}"
+    paragraph = " ".join(f"p{i}" for i in range(30))
+    rows = [(1, f"{boilerplate}\n{plain}\n{boilerplate}"), (2, plain), (3, short), (4, f"{paragraph}\n" + " ".join(f"w{i}" for i in range(180)) + f"\n{paragraph}")]
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["kept"] for i, r in got.items()} == {1: False, 2: True, 3: True, 4: False}
+    assert not any(r["base_failed"] for r in got.values()) and got[3]["dup_chars_10"] > quality.NGRAM_LIMITS[10] * got[3]["word_chars"]
