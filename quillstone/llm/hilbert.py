@@ -75,17 +75,22 @@ def _cell(edges: Column, value: Column) -> Column:
     return F.coalesce(F.size(F.filter(edges, lambda e: e <= value)), F.lit(0))
 
 
-def sharded(documents: DataFrame, dimensions: Sequence[str] = ("lang", "source", "n_chars"), shards: int = 16, bits: int = 6, law: str = "rows") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) and curve for each row.
+def sharded(documents: DataFrame, dimensions: Sequence[str] = ("lang", "source", "n_chars"), shards: int = 16, bits: int = 6, law: str = "rows", columns: Sequence[str] | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard (null), curve and the other input columns of each row.
 
     law `rows`: the shards' numbers of rows are at most one apart; `bytes`:
     their sizes (UTF-8 bytes and 1 for each row) are nearly equal.
-    dimensions that documents doesn't have are left out.
+    dimensions that documents doesn't have are left out. columns: the input
+    columns to carry (default: all; none for places alone); one that has the
+    name of a column above gets input_ before it.
     """
     if law not in ("rows", "bytes"):
         raise ValueError(f"law must be rows or bytes, not {law}")
     dims = [c for c in dimensions if c in documents.columns]
-    base = documents.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), *[ordinal(documents, c).alias(f"__d{i}") for i, c in enumerate(dims)])
+    own = ("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
+    carried = {c: f"input_{c}" if c in own else c for c in (documents.columns if columns is None else columns) if c != "doc_id"}
+    row = [F.struct(*carried).alias("__row")] if carried else []
+    base = documents.select("doc_id", *row, (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), *[ordinal(documents, c).alias(f"__d{i}") for i, c in enumerate(dims)])
     rows = cut(base)
     # cut points: at most 2^bits - 1 numbers of each dimension
     n = 1 << bits
@@ -96,7 +101,7 @@ def sharded(documents: DataFrame, dimensions: Sequence[str] = ("lang", "source",
         cells.append(_cell(edges, F.col(f"__d{i}")))
     placed = rows.withColumn("curve", curve_index(cells, bits) if cells else F.lit(0).cast("long"))
     order = ["curve", "doc_id", "text_crc32", "size"]
-    ranged = placed.select("doc_id", "size", "text_crc32", "curve").repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = placed.select("doc_id", "size", "text_crc32", "curve", *["__row" for _ in row]).repartitionByRange(*order).sortWithinPartitions(*order)
     # a task's rows are numbered in order; the task is in the upper bits
     numbered = cut(ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.spark_partition_id()))
     tasks = numbered.groupBy("__task").agg(F.count("*").alias("n"), F.min("__at").alias("first"), F.sum("size").alias("bytes"))
@@ -118,4 +123,9 @@ def sharded(documents: DataFrame, dimensions: Sequence[str] = ("lang", "source",
         out = cut(out.withColumn("shard", F.floor(F.col("__start") * shards / max(1, total["bytes"])).cast("int")))
         firsts = out.groupBy("shard").agg(F.min("rank").alias("__first"))
         out = out.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("rank") - F.col("__first"))
-    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+    return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", *[F.col("__row")[c].alias(name) for c, name in carried.items()])
+
+
+def write(documents: DataFrame, path: str, **options) -> None:
+    """Write the rows to path as Parquet, a folder for each shard, in the order of the curve."""
+    sharded(documents, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

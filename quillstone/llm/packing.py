@@ -196,14 +196,16 @@ class Packer:
 
 
 def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 2048, end_id: int = 1) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
+
+    ids are the piece's token ids, so a sequence is its pieces' ids by offset.
 
     tokenizer is a path that all executors have (default: the public
     word-level BPE of 49k ids).
     """
     path = tokenizer or default_tokenizer()
     kind = documents.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = Encoder(path), Packer(length)
@@ -218,15 +220,18 @@ def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 204
             nonlocal made
             for number, start, size, offset in window:
                 doc, tokens, first, ids = waiting[number]
-                out.append((doc, start, size, zlib.crc32(ids[start - first : start - first + size].tobytes()), tokens, base + made, offset))
+                own = ids[start - first : start - first + size]
+                out.append((doc, start, size, zlib.crc32(own.tobytes()), tokens, base + made, offset, own))
                 if not last:
                     del waiting[number]
             made += 1
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            *columns, own = list(zip(*out, strict=True)) if out else [[]] * 8
             kinds = [doc_type] + [pa.int64()] * 6
-            made_batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            flat = np.concatenate(own).view(np.int32) if own else np.zeros(0, np.int32)
+            made_batch = pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.ListArray.from_arrays(ends, flat)], names)
             out.clear()
             return made_batch
 
@@ -240,7 +245,8 @@ def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 204
                     own = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4")
                     whole = len(own) // length * length
                     for start in range(0, whole, length):
-                        out.append((doc, start, length, zlib.crc32(own[start : start + length].tobytes()), len(own), base + made, 0))
+                        part = own[start : start + length]
+                        out.append((doc, start, length, zlib.crc32(part.tobytes()), len(own), base + made, 0, part))
                         made += 1
                     if whole < len(own):
                         waiting[row] = (doc, len(own), whole, own[whole:].copy())
@@ -252,4 +258,4 @@ def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 204
             written(window, True)
         yield batch()
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")

@@ -52,7 +52,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hilbert.sharded(table(spark, sf_dir, "documents"))
+    return hilbert.sharded(table(spark, sf_dir, "documents"), columns=())
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    return packing.packed(table(spark, sf_dir, "documents")).drop("ids")
 
 
 OP2_SQL = r"""

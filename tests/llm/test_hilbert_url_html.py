@@ -40,6 +40,16 @@ def test_shards(spark, sf, law):
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_shards_carry_and_write_rows(spark, sf, tmp_path):
+    df = spark.read.parquet(f"{sf}/documents.parquet").withColumn("size", F.lit("given"))
+    got = hilbert.sharded(df)
+    assert got.select("doc_id", "text", "lang", "source", "n_chars", F.col("input_size").alias("size")).exceptAll(df).count() == 0 and got.count() == df.count()
+    hilbert.write(df, str(tmp_path / "shards"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert back.select("doc_id", "text").exceptAll(df.select("doc_id", "text")).count() == 0 and back.count() == df.count()
+    assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == [f"shard={i}" for i in range(4)]
+
+
 def test_shards_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert hilbert.sharded(df).count() == 0

@@ -40,6 +40,17 @@ def test_ids_and_round_trip(spark, sf):
     assert partial <= 3  # one for each task
 
 
+def test_pieces_carry_their_ids(spark):
+    """The pieces of a document put together are what the tokenizer gives, and a sequence is its pieces by offset."""
+    rows = [(1, "word " * 3000), (2, "a short text"), (3, None), (4, "other words " * 900)]
+    pieces = packing.packed(spark.createDataFrame(rows, "doc_id long, text string").repartition(1)).collect()
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    for i, t in rows:
+        own = sorted((p["start"], p["ids"]) for p in pieces if p["doc_id"] == i)
+        assert [x for _, ids in own for x in ids] == tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+    assert all(len(p["ids"]) == p["length"] and zlib.crc32(np.array(p["ids"], "<u4").tobytes()) == p["ids_crc32"] for p in pieces)
+
+
 def test_sum_of_squares_rule():
     p = packing.Packer(10)
     rng = np.random.default_rng(3)
