@@ -10,22 +10,31 @@
    compared exactly. Connected components of the links follow.
 3. In buckets that still hold several components, members outside the largest
    one are compared with other members of it, in the same way.
-4. What is then left, documents outside the main component of a group that
-   shares buckets, is a query set against the whole group, in blocks. A block
-   compares sketches, then full sets, the likeliest pairs first, and gives out
-   a spanning forest of the links that it finds. So no step makes all pairs of
-   a group, and no link between components is lost.
+4. In buckets that are mixed even then, members outside the largest component
+   are a query set against their own bucket, in blocks of BLOCK by BLOCK. A
+   first pass deals out sketches only, and gives out the members that have a
+   partner by sketch in their block. Only those members' sets are dealt out in
+   the second pass, which compares them exactly, the likeliest pairs first,
+   and gives out a spanning forest of the links that it finds. So no step makes
+   all pairs of a group, full sets go only where a sketch asks for them, and no
+   link between components is lost. Comparing sketches takes time in
+   proportion to the square of a bucket whose members don't link (some 10^8
+   pairs a second), and shuffles 100 bytes for each member and block.
 
 The default is 52 bands of 7 rows: a pair with a similarity of 0.8 shares no
-bucket with a probability of 5e-6; the sketch rejects such a pair with one of
-about 3e-9.
+bucket with a probability of 5e-6; its sketch estimate has a standard error of
+0.031, and rejects such a pair with a probability of 1e-6.
 
 Defined results: null, empty and word-less texts have an empty set, n_shingles
 0, and are a class of their own by doc_id. A text of fewer words than a
 shingle is one shingle of all its words. Rows with a null doc_id are kept
 as they are and linked with nothing (component_id null, kept true); rows that
 repeat a doc_id are one document where their sets are equal, else they are
-linked through that id. Each row of the input gives one row of the output.
+linked through that id. Of documents that are equally near the smallest
+doc_id is taken. A very long text is taken whole: its words' hashes and its set
+are held, 8 bytes each. Each row of the input gives one row of the output, and
+an empty table gives an empty one. doc_id must be an integer column (else a
+TypeError); other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,13 +46,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import cut, hashes, lowered, mix, pieces, words
+from ._arrow import cut, hashed_words, integer_ids, lean, lowered, mix, pieces
 
 BANDS, ROWS, SKETCH_BITS = 52, 7, 512
 #: A pair goes on to the exact comparison if its sketches estimate at least the similarity less this.
-SLACK = 0.25
-#: Documents of either side that meet in one block of a task.
-BLOCK = 512
+SLACK = 0.15
+#: Documents of either side that meet in one block of a bucket.
+BLOCK = 256
+#: Words of which the shingles are made at once.
+WORDS_AT_ONCE = 1 << 20
 #: Links (16 bytes each) of a task of the connected components.
 LINKS_PER_TASK = 250_000
 #: Members of a bucket's largest component that stand for it, by the bucket.
@@ -56,12 +67,22 @@ _B = _SEED.integers(0, 1 << 32, BANDS * ROWS, np.uint64).astype(np.uint32)
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(n + 1 offsets, sorted distinct 64-bit shingle hashes) of the texts of a piece."""
-    offsets, codes, distinct = words(lowered(texts))
-    h = hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    offsets, h, _ = hashed_words(lowered(texts))
+    if len(texts) == 1 and len(h) > WORDS_AT_ONCE:
+        # a very long text: runs of words that overlap by k - 1
+        runs = [_shingles(np.array([0, len(x)]), x, k) for i in range(0, len(h) - k + 1, WORDS_AT_ONCE) for x in [h[i : i + WORDS_AT_ONCE + k - 1]]]
+        members = np.unique(np.concatenate([np.unique(x) for _, x in runs]))
+        return np.array([0, len(members)]), members
+    ends, s = _shingles(offsets, h, k)
+    sets = [np.unique(s[ends[i] : ends[i + 1]]) for i in range(len(ends) - 1)]
+    return np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64), np.concatenate([np.zeros(0, np.uint64), *sets])
+
+
+def _shingles(offsets: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n + 1 offsets, hash of the shingle at each word) from the words' hashes: of k words, or of all words of a shorter text."""
     n = np.diff(offsets)
     count = np.where(n >= k, n - k + 1, np.minimum(n, 1))
     ends = np.concatenate([[0], np.cumsum(count)])
-    # the shingle at each word, of k words or of all words of a short text
     text_of = np.repeat(np.arange(len(n)), count)
     at = np.arange(ends[-1]) - ends[text_of] + offsets[text_of]
     size = np.minimum(n, k)[text_of]
@@ -70,13 +91,7 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         inside = j < size
         word = h[np.minimum(at + j, len(h) - 1)] if len(h) else h
         s = np.where(inside, mix(s * np.uint64(0x9E3779B97F4A7C15) + word), s)
-    sets, sizes = [], np.zeros(len(n), np.int64)
-    for i in range(len(n)):
-        if ends[i + 1] > ends[i]:
-            u = np.unique(s[ends[i] : ends[i + 1]])
-            sets.append(u)
-            sizes[i] = len(u)
-    return np.concatenate([[0], np.cumsum(sizes)]), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    return ends, s
 
 
 def _signatures(offsets: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -116,7 +131,7 @@ def _described(documents: DataFrame, k: int) -> DataFrame:
     """A row for each row of documents: doc_id, n_shingles, digest, bands, sketch (the last three null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for start, texts in pieces(b.column(1)):
                 offsets, s = shingle_sets(texts, k)
                 size = np.diff(offsets)
@@ -144,7 +159,7 @@ def _sets(documents: DataFrame, k: int) -> DataFrame:
     """doc_id and its set (array<long>, distinct)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for start, texts in pieces(b.column(1)):
                 offsets, s = shingle_sets(texts, k)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, len(texts)), pa.ListArray.from_arrays(offsets.astype(np.int32), s.view(np.int64))], ["doc_id", "members"])
@@ -152,14 +167,37 @@ def _sets(documents: DataFrame, k: int) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, members array<long>")
 
 
-def _across_blocks(percent: int):
-    """Exact links between components, inside blocks of (cluster, left, right), which arrive sorted."""
+def _bits(rows: pa.Table) -> np.ndarray:
+    return rows.column("sketch").chunk(0).flatten().to_numpy().view(np.uint64).reshape(rows.num_rows, -1)
+
+
+def _asked(percent: int):
+    """bucket, left, right, side, doc_id of the members of a block that have a partner in another component by sketch."""
     limit = most_differing(percent / 100)
 
-    def links(rows: pa.Table) -> pa.RecordBatch | None:
-        rows = rows.combine_chunks()
+    def block(rows: pa.Table) -> pa.RecordBatch | None:
+        root, side = (rows.column(c).to_numpy() for c in ("component", "side"))
+        bits = _bits(rows)
+        near = np.zeros(len(root), bool)
+        right = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            js = right[root[right] != root[i]]
+            js = js[np.bitwise_count(bits[js] ^ bits[i]).sum(1) <= limit]
+            near[js] = True
+            near[i] = len(js) > 0
+        names = ["bucket", "left", "right", "side", "doc_id"]
+        return pa.RecordBatch.from_arrays([rows.column(c).chunk(0).filter(pa.array(near)) for c in names], names) if near.any() else None
+
+    return _by_block(block)
+
+
+def _linked(percent: int):
+    """Exact links (a, b) between components of a block: a spanning forest of them."""
+    limit = most_differing(percent / 100)
+
+    def block(rows: pa.Table) -> pa.RecordBatch | None:
         ids, root, side = (rows.column(c).to_numpy().copy() for c in ("doc_id", "component", "side"))
-        bits = rows.column("sketch").chunk(0).flatten().to_numpy().view(np.uint64).reshape(len(ids), -1)
+        bits = _bits(rows)
         members = rows.column("members").chunk(0)
         ends = np.asarray(members.offsets)
         flat = members.values.to_numpy()
@@ -181,22 +219,28 @@ def _across_blocks(percent: int):
                     root[root == root[j]] = root[i]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"]) if found else None
 
+    return _by_block(block)
+
+
+def _by_block(of_block):
+    """Runs of_block on the rows of each (bucket, left, right), which arrive sorted."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
-        for batch in batches:
+        for batch in lean(batches):
             if not batch.num_rows:
                 continue
-            keys = np.stack([batch.column(c).to_numpy() for c in ("cluster", "left", "right")], 1)
+            keys = np.stack([batch.column(c).to_numpy() for c in ("bucket", "left", "right")], 1)
             cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)]])
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if held and tuple(keys[x]) != key:
-                    if (found := links(pa.Table.from_batches(held))) is not None:
+                    if (found := of_block(pa.Table.from_batches(held).combine_chunks())) is not None:
                         yield found
                     held = []
                 key = tuple(keys[x])
                 held.append(batch.slice(x, y - x))
-        if held and (found := links(pa.Table.from_batches(held))) is not None:
+        if held and (found := of_block(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield found
 
     return run
@@ -229,6 +273,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text)."""
+    integer_ids(documents)
     described = cut(_described(documents, shingle))
     full = described.where("n_shingles > 0 and doc_id is not null")
     # one row for each set that differs, with what the search needs
@@ -239,10 +284,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
     hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("bucket", "hub")
     shared = cut(bands.join(hubs, "bucket"))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        """Full sets of the documents of ids (doc_id, distinct)."""
-        texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-        return _sets(texts, shingle).where(F.size("members") > 0)
+    # the full sets of documents that share a bucket, one for each row
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = cut(_sets(texts, shingle).where(F.size("members") > 0))
 
     def popcount(x: str, y: str):
         bits = [F.bit_count(F.element_at(x, i).bitwiseXOR(F.element_at(y, i))) for i in range(1, SKETCH_BITS // 64 + 1)]
@@ -253,7 +297,6 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
         near = pairs.distinct().join(sketches.select("rep", F.col("sketch").alias("x")), "rep").join(sketches.select(F.col("rep").alias("hub"), F.col("sketch").alias("y")), "hub")
         near = near.select("rep", "part", F.struct(popcount("x", "y").alias("d"), "hub").alias("h")).where(F.col("h.d") <= most_differing(percent / 100))
         near = cut(near.groupBy("rep", "part").agg(F.min("h").alias("h")).select(F.col("rep").alias("b"), F.col("h.hub").alias("a")))
-        sets = cut(sets_of(near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()))
         both = near.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
         common = F.size(F.array_intersect("x", "y"))
         return cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
@@ -282,24 +325,21 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
         links = cut(links.unionByName(more))
         comp = cut(components(links))
 
-    # what is left: groups of documents that share buckets, but are in several components
+    # what is left: buckets whose members are in several components
     left = mixed()
     if not left.isEmpty():
-        grouped = components(left.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-        members = cut(grouped.select(F.col("node").alias("rep"), F.col("component").alias("cluster")).join(left.select("rep", "component").distinct(), "rep"))
-        by_component = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-        clusters = by_component.groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("n_apart")).where("n_apart > 0")
-        rows = members.join(clusters, "cluster").join(sketches, "rep").withColumnRenamed("rep", "doc_id")
-        rows = cut(rows.join(sets_of(members.select(F.col("rep").alias("doc_id"))), "doc_id"))
+        by_bucket = left.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("hub_component")).alias("n_apart"))
+        rows = cut(left.join(by_bucket, "bucket").join(sketches, "rep").select("bucket", F.col("rep").alias("doc_id"), "component", "sketch", "n", "n_apart", (F.col("component") != F.col("hub_component")).alias("apart")))
         blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
         own = lambda n: F.pmod(F.xxhash64("doc_id"), blocks(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-        columns = ["doc_id", "component", "sketch", "members"]
-        # documents outside their cluster's main component, against the whole cluster, in blocks
-        asks = rows.where("component <> main").select("cluster", own("n_apart").alias("left"), every("n").alias("right"), F.lit(0).alias("side"), *columns)
-        answers = rows.select("cluster", every("n_apart").alias("left"), own("n").alias("right"), F.lit(1).alias("side"), *columns)
-        dealt = asks.unionByName(answers).repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
-        last = cut(dealt.mapInArrow(_across_blocks(percent), "a long, b long"))
+        columns = ["doc_id", "component", "sketch"]
+        asks = rows.where("apart").select("bucket", own("n_apart").alias("left"), every("n").alias("right"), F.lit(0).alias("side"), *columns)
+        answers = rows.select("bucket", every("n_apart").alias("left"), own("n").alias("right"), F.lit(1).alias("side"), *columns)
+        dealt = lambda df: df.repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+        asked = cut(dealt(asks.unionByName(answers)).mapInArrow(_asked(percent), "bucket long, left int, right int, side int, doc_id long"))
+        known = rows.select("doc_id", "component", "sketch").distinct()
+        last = cut(dealt(asked.join(known, "doc_id").join(sets, "doc_id")).mapInArrow(_linked(percent), "a long, b long"))
         if not last.isEmpty():
             comp = cut(components(links.unionByName(last)))
 

@@ -4,35 +4,43 @@ Documents are tokenised, an end id is added, whole sequences are cut off, and
 each rest is placed by the sum-of-squares rule: of all fill levels with an
 open window (or a new one), the one after which the sum over levels of the
 squared number of windows at that level is smallest. A level array holds those
-numbers. At the end of a task its open windows, which are few, are closed:
-the emptiest are cut and moved into the room of the fullest, so that at most
-one sequence of a task is padded.
+numbers. At the end of a task its open windows are closed: the emptiest are cut
+and moved into the room of the fullest, so that at most one sequence of a task
+is padded. The open windows are about 320 to 400, however many documents a task
+has; so that is the share of documents that doesn't stay where the rule put it:
+15 % of 8,000 documents, 2.5 % of 50,000. `streams` packs in fewer, larger
+tasks.
 
 Each task packs its own partition, so rows are never moved, memory is bounded
-by the open windows (their pieces' positions, not ids), and a lost task is
-done again alone. sequence_id holds the partition in its upper bits.
-
-Defined results: a null text is an empty one: its only id is the end id. Every
-row is packed, rows with null or repeated ids included. No rows: no pieces.
+by the open windows, and a lost task is done again alone. sequence_id holds the
+partition in its upper bits.
+
+Defined results: a null text is an empty one: its only id is the end id. A very
+long text is tokenised in segments between white space, and its ids are held
+once. Every row is packed, rows with null or repeated ids included; equal
+levels: the fullest. No rows: no pieces. Other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import itertools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from ._arrow import LOWER, pieces, utf8
+from ._arrow import LOWER, lean, pieces, segments, utf8
+
+#: Distinct pieces of which a task keeps the ids (about 200 bytes each).
+CACHE = 200_000
 
-#: Distinct pieces of which a task keeps the ids.
-CACHE = 600_000
+#: Pieces of an output batch.
+PIECES = 500
 
 # classes of bytes: white space, letters, digits, marks, and bytes of words that the whole tokenizer must see
 _SPACE, _LETTER, _DIGIT, _MARK, _OTHER, _WHOLE = range(6)
@@ -104,9 +112,8 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = pa.array([], pa.string())
-        self.ends = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.place: dict[str, int] = {}
+        self.ends, self.flat = array("q", [0]), array("I")
 
     def _encode(self, piece: str) -> list[int]:
         if self.simple(piece):
@@ -116,21 +123,28 @@ class Encoder:
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(n + 1 offsets, ids) of the texts of a piece."""
+        if len(texts) == 1:
+            parts = [self._ids(part)[1] for part in segments(texts)]
+            return np.array([0, sum(map(len, parts))]), np.concatenate(parts)
+        return self._ids(texts)
+
+    def _ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets, codes, distinct = split(texts)
-        if len(self.known) > CACHE:
+        if len(self.place) > CACHE:
             self._clear()
-        place = pc.index_in(distinct, self.known)
-        if place.null_count:
-            new = distinct.filter(place.is_null())
-            each = [self._encode(x) for x in new.to_pylist()]
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(x) for x in each])])
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(each), np.uint32)])
-            self.known = pa.concat_arrays([self.known, new])
-            place = pc.index_in(distinct, self.known)
-        at = place.to_numpy()[codes].astype(np.int64)
-        first, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return ends[offsets], self.flat[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])]
+        place, at = self.place, np.empty(len(distinct), np.int64)
+        for i, piece in enumerate(distinct.to_pylist()):
+            known = place.get(piece)
+            if known is None:
+                known = place[piece] = len(place)
+                self.flat.extend(self._encode(piece))
+                self.ends.append(len(self.flat))
+            at[i] = known
+        ends, flat = np.array(self.ends), np.array(self.flat)
+        at = at[codes]
+        first, n = ends[at], ends[at + 1] - ends[at]
+        total = np.concatenate([[0], np.cumsum(n)])
+        return total[offsets], flat[np.repeat(first - total[:-1], n) + np.arange(total[-1])]
 
 
 class Packer:
@@ -195,14 +209,16 @@ class Packer:
             yield window
 
 
-def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 2048, end_id: int = 1) -> DataFrame:
+def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 2048, end_id: int = 1, streams: int | None = None) -> DataFrame:
     """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
     ids are the piece's token ids, so a sequence is its pieces' ids by offset.
 
     tokenizer is a path that all executors have (default: the public
-    word-level BPE of 49k ids).
+    word-level BPE of 49k ids). streams: pack in at most so many tasks (default:
+    the partitions as they are).
     """
+    documents = documents.coalesce(streams) if streams else documents
     path = tokenizer or default_tokenizer()
     kind = documents.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -236,7 +252,7 @@ def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 204
             return made_batch
 
         doc_type = pa.int64()
-        for b in batches:
+        for b in lean(batches):
             doc_type = b.column(0).type
             for at, texts in pieces(b.column(1)):
                 offsets, ids = encoder.ids(texts)
@@ -248,6 +264,8 @@ def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 204
                         part = own[start : start + length]
                         out.append((doc, start, length, zlib.crc32(part.tobytes()), len(own), base + made, 0, part))
                         made += 1
+                        if len(out) >= PIECES:
+                            yield batch()
                     if whole < len(own):
                         waiting[row] = (doc, len(own), whole, own[whole:].copy())
                         if (full := packer.place((row, whole, len(own) - whole), len(own) - whole)) is not None:
@@ -256,6 +274,8 @@ def packed(documents: DataFrame, tokenizer: str | None = None, length: int = 204
                 yield batch()
         for window in packer.close():
             written(window, True)
+            if len(out) >= PIECES:
+                yield batch()
         yield batch()
 
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")

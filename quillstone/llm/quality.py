@@ -4,11 +4,14 @@ Words are hashed, n-grams of several lengths get rolling hashes, and a word
 counts as repeated if it lies in an n-gram that the text has at least twice.
 A rule compares the share of the words' characters that are repeated (for each
 length) and of those in lines equal to an earlier line with its limit. Next to
-these limits, one repetition of one short line is allowed.
+these limits, one repetition of one short line is allowed. A longer n-gram is
+a stronger sign, so its limit is lower: a text may fail on any of them alone.
 
 Defined results: null, empty and word-less texts have zero counts and fail the
-base rule of 20 words. Each row gives one row, repeated rows and null ids
-included; texts are scored alone.
+base rule of 20 words. A very long text is judged whole; a task holds a hash
+and a size for each of its words, not the words. Each row gives one row,
+repeated rows and null ids included, and texts are scored alone; an empty
+table gives an empty one. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import xxhash
 from pyspark.sql import DataFrame
 
-from ._arrow import hashes, mix, pieces, utf8, words
+from ._arrow import hashed_words, lean, mix, pieces, utf8
 
 #: Largest share of characters in duplicated n-grams of so many words, the published limits of a common rule set.
 NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -58,34 +61,48 @@ def covered(offsets: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(out[:-1]) > 0
 
 
+def lines(data: bytes, at: int, end: int) -> Iterator[bytes]:
+    """The lines of data[at:end]."""
+    while at <= end:
+        stop = data.find(b"\n", at, end)
+        stop = end if stop < 0 else stop
+        yield data[at:stop]
+        at = stop + 1
+
+
 def repetition(texts: pa.Array) -> dict[str, np.ndarray]:
     """The counts of each text of a piece."""
     raw, ends = utf8(texts)
-    offsets, codes, distinct = words(texts)
-    h = hashes(distinct)[codes] if len(codes) else np.zeros(0, np.uint64)
+    offsets, h, sizes = hashed_words(texts)
     h = mix(h)
-    sizes = pa.compute.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
-    total = lambda values: np.concatenate([[0], np.cumsum(values)])
+    total = lambda values: np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
     of = lambda values, bounds: (x := total(values))[bounds[1:]] - x[bounds[:-1]]
-    out = {"n_words": np.diff(offsets), "word_chars": of(sizes, offsets), "n_symbols": of(_SYMBOL[raw].astype(np.int64), ends)}
+    out = {"n_words": np.diff(offsets), "word_chars": of(sizes, offsets), "n_symbols": of(_SYMBOL[raw], ends)}
     # lines that have a word and are equal to an earlier line of the text
     n_dup, dup_chars, one_line = (np.zeros(len(texts), np.int64) for _ in range(3))
-    for i, text in enumerate(texts.to_pylist()):
-        if "\n" in text:
-            seen: set[str] = set()
-            for line in text.split("\n"):
-                if line in seen:
-                    if parts := line.encode().split():
-                        n_dup[i] += 1
-                        size = sum(len(p.decode()) for p in parts)
-                        dup_chars[i] += size
-                        if len(parts) <= ONE_LINE_WORDS:
-                            one_line[i] = max(one_line[i], size)
-                else:
-                    seen.add(line)
-    out |= {"n_dup_lines": n_dup, "n_repeat_words": of(covered(offsets, h, BASE_WINDOW).astype(np.int64), offsets), "dup_line_chars": dup_chars, "one_line_chars": one_line}
-    for n in NGRAM_LIMITS:
-        out[f"dup_chars_{n}"] = of(np.where(covered(offsets, h, n), sizes, 0), offsets)
+    data = raw.tobytes()
+    for i in range(len(texts)):
+        if data.find(b"\n", ends[i], ends[i + 1]) < 0:
+            continue
+        seen: set[bytes] = set()
+        for line in lines(data, ends[i], ends[i + 1]):
+            key = line if len(line) <= 16 else xxhash.xxh3_128_digest(line) + len(line).to_bytes(8)
+            if key in seen:
+                if parts := line.split():
+                    n_dup[i] += 1
+                    size = sum(len(p.decode()) for p in parts)
+                    dup_chars[i] += size
+                    if len(parts) <= ONE_LINE_WORDS:
+                        one_line[i] = max(one_line[i], size)
+            else:
+                seen.add(key)
+    out |= {"n_dup_lines": n_dup, "dup_line_chars": dup_chars, "one_line_chars": one_line}
+    for n in sorted({BASE_WINDOW, *NGRAM_LIMITS}):
+        repeated = covered(offsets, h, n)
+        if n == BASE_WINDOW:
+            out["n_repeat_words"] = of(repeated, offsets)
+        if n in NGRAM_LIMITS:
+            out[f"dup_chars_{n}"] = of(np.where(repeated, sizes, 0), offsets)
     return out
 
 
@@ -101,7 +118,7 @@ def judged(documents: DataFrame) -> DataFrame:
     more = ["dup_line_chars", *(f"dup_chars_{n}" for n in NGRAM_LIMITS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in lean(batches):
             for start, texts in pieces(b.column(1)):
                 x = repetition(texts)
                 failed = (x["n_words"] < LEAST_WORDS) | (100 * x["n_repeat_words"] > BASE_PERCENT * x["n_words"])

@@ -1,23 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled rows:
-one on ordinary text, one on the toxic passages of toxic documents, which are
-the words holding a byte 5-gram that is over-represented in toxic documents.
-A window of a text is a word (long words are cut) between a fixed head and
-tail. A window's gain is its length under the ordinary dictionary minus that
-under the toxic one. A
-document's score is a logistic function of how many windows reach each gain,
-fitted on the same sample, so the thresholds are calibrated.
+Windows of running text (about WINDOW bytes from a word's start on, a new one
+every STEP bytes) are compressed twice, with a zstandard dictionary trained on
+ordinary texts, and with the same followed by one trained on toxic passages. A
+window's gain is the difference of the two lengths.
+
+Toxic documents are mostly ordinary text. So their passages are found by
+compression too: dictionaries trained on the whole texts of some toxic
+documents compress the others, and windows whose gain is reached by one
+ordinary window in a hundred only are the passages. The dictionaries that
+judge are trained on those.
+
+A document's score is a logistic function of how many windows reach each gain.
+It is fitted on gains that each labelled document has under dictionaries it
+was not in (FOLDS parts), so the thresholds are calibrated for unseen texts.
 
 Defined results: null, empty and word-less texts have no window and get the
-score of a document without gains. Every row of the input gives one row of
-the output, repeated rows and null ids included. Without a toxic and an
-ordinary labelled row nothing can be learnt and every score is 0.
+score of a document without gains. A very long text is compressed whole, block
+by block; long words are windows like others. Every row of the input gives one
+row of the output, repeated rows and null ids included; an empty table gives
+an empty one. Other columns are not read, whatever their names. Without a
+toxic and an ordinary labelled row nothing can be learnt and every score is 0.
+Labelled rows with equal texts are learnt from once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,19 +35,62 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import LOWER, pieces, words
-
-#: zstd's level, the bytes of either dictionary, and the longest piece of a word in a window.
-LEVEL, DICT_BYTES, WORD_BYTES = 9, 8192, 48
-#: A window's head stands at the end of both dictionaries, so that even a window of one short word is worth compressing
-#: (zstd stores others as they are); its tail is in neither: zstd starts no match in the last eight bytes of a block.
-HEAD, TAIL = bytes(range(1, 9)) * 2 + bytes(range(14, 30)), bytes(range(8, 0, -1))
+from ._arrow import LOWER, lean, per_text, pieces, utf8
+
+#: Bytes of a window, and of the shortest distance from one to the next. zstd starts no match in a block's last eight
+#: bytes, so this leaves words of up to twelve bytes whole in some window.
+WINDOW, STEP = 32, 12
+LEVEL = 3
+#: Bytes of the ordinary dictionary, of the toxic one while passages are searched, and of the toxic one.
+ORDINARY_BYTES, SEARCH_BYTES, TOXIC_BYTES = 112 << 10, 8 << 10, 1536
+#: Passages have a gain that this share of ordinary windows doesn't exceed.
+QUANTILE = 0.99
+FOLDS = 4
 #: Gains at which windows are counted.
-GAINS = (2, 3, 4, 5, 6)
-#: A 5-gram is over-represented if it is in so many times the share of toxic documents, and in this share of them.
-LIFT, SHARE = 8.0, 0.02
-#: Distinct words of which a task keeps the gain.
-CACHE = 400_000
+GAINS = (2, 3, 4, 5, 6, 8, 10)
+#: Bytes of text of which the windows are held at once.
+BLOCK = STEP << 16
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def windows(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the windows of padded texts that lie one after another in raw."""
+    if not len(raw):
+        return (np.zeros(0, np.int64),) * 3
+    space = _SPACE[raw]
+    begins = np.concatenate([[True], space[:-1]])
+    starts = np.flatnonzero(begins & ~space)
+    text = np.searchsorted(offsets, starts, side="right") - 1
+    step = (starts - offsets[text]) // STEP
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (step[1:] != step[:-1])])[: len(starts)]
+    starts, text = starts[new], text[new]
+    return text, starts, np.minimum(starts + WINDOW, offsets[text + 1])
+
+
+def lengths(compressor: zstandard.ZstdCompressor, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Compressed lengths of windows."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    spans = np.stack([starts, ends - starts], 1).astype(np.uint64)
+    out = compressor.multi_compress_to_buffer(zstandard.BufferWithSegments(raw, spans.tobytes()))
+    return np.fromiter(map(len, out), np.int64, len(out))
+
+
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    held.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False)
+
+
+def _dictionary(samples: Sequence[bytes], size: int, segment: int, gram: int) -> bytes:
+    """A dictionary that zstandard trains on the samples; few samples are given to it several times."""
+    samples = [s for s in samples if len(s) >= 8]
+    if not samples:
+        return b""
+    times = max(-(-20 * size // sum(map(len, samples))), -(-64 // len(samples)))
+    return zstandard.train_dictionary(size, list(samples) * times, k=segment, d=gram).as_bytes()
 
 
 @dataclass
@@ -53,108 +105,51 @@ class ToxicityModel:
     def __getstate__(self):
         return {"ordinary": self.ordinary, "toxic": self.toxic, "weights": self.weights, "_ready": None}
 
-    def _gain(self, word: bytes) -> int:
+    def gains(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(n + 1 offsets of the texts' windows, gain of each window) of lower-cased texts of a piece."""
         if self._ready is None:
-            self._ready = [_compressor(x) for x in (self.ordinary, self.toxic)]
-        best = 0
-        for i in range(0, len(word), WORD_BYTES):
-            window = HEAD + b" " + word[i : i + WORD_BYTES] + b" " + TAIL
-            a, b = (len(c.compress(window)) for c in self._ready)
-            best = max(best, a - b)
-        return best
-
-    def features(self, texts: pa.Array, cache: dict[bytes, int]) -> np.ndarray:
-        """Of each text: windows of each gain, logarithmic, the largest gain, and the number of words, logarithmic."""
-        offsets, codes, distinct = words(texts)
-        if len(cache) > CACHE:
-            cache.clear()
-        gains = np.zeros(len(distinct), np.int64)
-        for i, w in enumerate(distinct.cast(pa.binary()).to_pylist()):
-            w = w.translate(LOWER)
-            g = cache.get(w)
-            if g is None:
-                g = cache[w] = self._gain(w)
-            gains[i] = g
-        gain = gains[codes]
-        n = np.diff(offsets)
-        at = np.concatenate([[0], np.cumsum(gain >= GAINS[0])])
-        out = [np.ones(len(n)), np.log1p(n)]
-        for g in GAINS:
-            at = np.concatenate([[0], np.cumsum(gain >= g)])
-            count = at[offsets[1:]] - at[offsets[:-1]]
-            out += [np.log1p(count), count / np.maximum(n, 1) * 10]
-        most = np.zeros(len(n))
-        full = np.flatnonzero(n > 0)
-        if len(full):
-            most[full] = np.maximum.reduceat(gain, offsets[full])
-        return np.stack([*out, most], 1)
-
-    def score(self, texts: pa.Array, cache: dict[bytes, int]) -> np.ndarray:
+            self._ready = [_compressor(x) for x in (self.ordinary, self.ordinary + self.toxic)]
+        return _gains(texts, *self._ready)
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        return _features(texts, *self.gains(texts))
+
+    def score(self, texts: pa.Array) -> np.ndarray:
         if self.weights is None:
             return np.zeros(len(texts))
-        out = [1 / (1 + np.exp(-np.clip(self.features(t, cache) @ self.weights, -30, 30))) for _, t in pieces(texts)]
+        out = [1 / (1 + np.exp(-np.clip(self.features(t) @ self.weights, -30, 30))) for _, t in pieces(texts)]
         return np.concatenate(out) if out else np.zeros(0)
 
 
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    held.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False)
-
+def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of lower-cased texts, each with a blank before it and eight after it, so that their last words can match; their n + 1 offsets."""
+    raw, offsets = utf8(texts)
+    size = np.diff(offsets)
+    out = np.full(len(raw) + 9 * len(size), 32, np.uint8)
+    out[np.arange(len(raw)) + np.repeat(9 * np.arange(len(size)) + 1, size)] = raw
+    return np.frombuffer(out.tobytes().translate(LOWER), np.uint8), offsets + 9 * np.arange(len(offsets))
 
-def _grams(texts: list[bytes], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct byte k-grams and the number of texts that have each."""
-    found = []
-    for t in texts:
-        b = np.frombuffer(t, np.uint8).astype(np.uint64)
-        n = len(b) - k + 1
-        if n > 0:
-            g = np.zeros(n, np.uint64)
-            for j in range(k):
-                g = g * np.uint64(256) + b[j : n + j]
-            found.append(np.unique(g))
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
+def _gains(texts: pa.Array, one: zstandard.ZstdCompressor, other: zstandard.ZstdCompressor) -> tuple[np.ndarray, np.ndarray]:
+    raw, offsets = _padded(texts)
+    text, starts, ends = windows(raw, offsets)
+    gain = [lengths(one, raw, starts[i : i + BLOCK // STEP], ends[i : i + BLOCK // STEP]) - lengths(other, raw, starts[i : i + BLOCK // STEP], ends[i : i + BLOCK // STEP]) for i in range(0, len(starts), BLOCK // STEP)]
+    return np.searchsorted(text, np.arange(len(texts) + 1)), np.concatenate([np.zeros(0, np.int64), *gain])
 
-def _dictionary(samples: list[bytes]) -> bytes:
-    """The content of a trained dictionary, padded to DICT_BYTES so that both have the same search tables."""
-    samples = [s for s in samples if len(s) >= 8]
-    content = b"".join(samples)
-    if len(content) > DICT_BYTES:
-        try:
-            content = zstandard.train_dictionary(DICT_BYTES, samples, k=64, d=6, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            content = content[:DICT_BYTES]
-    return content.rjust(DICT_BYTES, b"\n")[-DICT_BYTES:] + HEAD
 
+def _features(texts: pa.Array, at: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Of each text: its size, logarithmic, the windows that reach each gain (logarithmic, and as a share), the largest and the mean gain."""
+    size, n = np.diff(utf8(texts)[1]), np.maximum(np.diff(at), 1)
+    out = [np.ones(len(size)), np.log1p(size)]
+    for g in GAINS:
+        count = per_text((gain >= g).astype(np.int64), at)
+        out += [np.log1p(count), 10 * count / n]
+    return np.stack([*out, per_text(gain, at, np.maximum), per_text(gain, at) / n], 1)
 
-def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0, odds: float | None = None) -> ToxicityModel:
-    """Train both dictionaries and calibrate the thresholds on whole labelled texts.
 
-    odds: toxic to ordinary rows where the texts were drawn from; by default those of the texts.
-    """
-    if not toxic or not ordinary:
-        return ToxicityModel(b"", b"")
-    bad = [t.encode().translate(LOWER) for t in dict.fromkeys(toxic)]
-    good = [t.encode().translate(LOWER) for t in dict.fromkeys(ordinary)]
-    grams, n_bad = _grams(bad)
-    other, count = _grams(good)
-    at = np.minimum(np.searchsorted(other, grams), max(0, len(other) - 1))
-    n_good = np.where(other[at] == grams, count[at], 0) if len(other) else np.zeros(len(grams), np.int64)
-    lift = n_bad / len(bad) / ((n_good + 0.5) / len(good))
-    chosen = set(grams[(lift >= LIFT) & (n_bad >= max(3, SHARE * len(bad)))].tolist())
-    passages = []
-    for t in bad:
-        held = [w for w in t.split() if any(int.from_bytes(x[j : j + 5], "big") in chosen for x in (b" " + w + b" ",) for j in range(len(x) - 4))]
-        if held:
-            passages.append(b" " + b" ".join(held) + b" ")
-    model = ToxicityModel(_dictionary(good), _dictionary(passages))
-    # weights by ridge-penalised logistic regression (Newton's method)
-    cache: dict[bytes, int] = {}
-    x = np.concatenate([model.features(t, cache) for ts in (bad, good) for _, t in pieces(pa.array([b.decode() for b in ts]))])
-    y = np.concatenate([np.ones(len(bad)), np.zeros(len(good))])
-    # a class counts as half of the rows, so that a few toxic rows still shape the weights
-    weight = np.where(y == 1, 0.5 / len(bad), 0.5 / len(good)) * len(y)
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights by ridge-penalised logistic regression (Newton's method), with either class as half of the rows."""
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum())) * len(y)
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -163,19 +158,64 @@ def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0, odds: float |
         w -= step
         if np.abs(step).max() < 1e-6:
             break
+    return w
+
+
+def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0, odds: float | None = None) -> ToxicityModel:
+    """Train both dictionaries and calibrate the thresholds on whole labelled texts.
+
+    odds: toxic to ordinary rows where the texts were drawn from; by default those of the texts.
+    """
+    bad, good = ([t.encode().translate(LOWER) for t in dict.fromkeys(ts)] for ts in (toxic, ordinary))
+    if not bad or not good:
+        return ToxicityModel(b"", b"")
+    base = _dictionary(good, ORDINARY_BYTES, 64, 8)
+    plain = _compressor(base)
+    column = lambda ts: pa.array([t.decode() for t in ts], pa.string())
+
+    def under(toxic: bytes, ts: list[bytes], by):
+        judge = _compressor(base + toxic)
+        return [by(t, *_gains(t, plain, judge)) for _, t in pieces(column(ts))] if ts else []
+
+    parts = range(min(FOLDS, max(2, len(bad))))
+    of = lambda ts, f: ts[f :: len(parts)]
+    others = lambda ts, f: [t for g in parts if g != f for t in ts[g :: len(parts)]] or ts
+
+    # passages of each part of the toxic texts, by a dictionary of the other parts
+    passages: list[list[bytes]] = []
+    for f in parts:
+        first = _dictionary(others(bad, f), SEARCH_BYTES, 32, 8)
+        usual = np.concatenate([np.zeros(1), *under(first, of(good, f), lambda t, at, gain: gain)])
+        least = max(1.0, float(np.quantile(usual, QUANTILE)))
+
+        def found(t: pa.Array, at: np.ndarray, gain: np.ndarray, least=least) -> list[bytes]:
+            raw, offsets = _padded(t)
+            _, starts, ends = windows(raw, offsets)
+            data = raw.tobytes()
+            return [data[a:b] for a, b in zip(starts[gain > least], ends[gain > least], strict=True)]
+
+        passages.append([w for ws in under(first, of(bad, f), found) for w in ws])
+    trained = lambda chosen: _dictionary([w for ws in chosen for w in ws], TOXIC_BYTES, 12, 8)
+    rows, marks = [], []
+    for f in parts:
+        apart = trained([p for g, p in enumerate(passages) if g != f])
+        for ts, mark in ((of(bad, f), 1), (of(good, f), 0)):
+            for x in under(apart, ts, _features):
+                rows.append(x)
+                marks.append(np.full(len(x), mark))
+    x, y = np.concatenate(rows), np.concatenate(marks)
+    w = _logistic(x, y, ridge)
     w[0] += np.log(odds or len(bad) / len(good))  # back to the odds of all rows, so that ordinary texts are left alone
-    model.weights = w
-    return model
+    return ToxicityModel(base, trained(passages), w)
 
 
-def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1000, ordinary_rows: int = 2000, max_chars: int = 8000) -> ToxicityModel:
+def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1000, ordinary_rows: int = 2000) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows, at the odds of all of them.
 
     documents: doc_id, text; labels: doc_id, toxic (1 or 0; other values and
     null ids are no labels, a document that has both counts as toxic).
     toxic_rows and ordinary_rows bound the sample, which is spread over all
-    labelled rows by a hash of doc_id; texts of more than max_chars aren't
-    learnt from.
+    labelled rows by a hash of doc_id; their texts are learnt from whole.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -183,9 +223,10 @@ def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1000, ordin
     place = F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(most))
     share = {k: int(most * min(1.0, rows / max(1, counts.get(k, 0)))) for k, rows in ((1, toxic_rows), (0, ordinary_rows))}
     sample = known.where(place < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull())
+    # rows that repeat an id are one labelled row
+    rows = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     odds = counts[1] / counts[0] if counts.get(1) and counts.get(0) else None
     return fit([r["text"] for r in rows if r["toxic"] == 1], [r["text"] for r in rows if r["toxic"] == 0], odds=odds)
 
@@ -194,9 +235,8 @@ def scored(documents: DataFrame, model: ToxicityModel, name: str = "score") -> D
     """doc_id and the score of each whole text; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1), cache), pa.float64())], ["doc_id", name])
+        for b in lean(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(b.column(1)), pa.float64())], ["doc_id", name])
 
     docs = documents.select("doc_id", "text")
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {name} double")
@@ -207,8 +247,7 @@ def without_toxic(documents: DataFrame, model: ToxicityModel, threshold: float =
     at = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, int] = {}
-        for b in batches:
-            yield b.filter(pa.array(model.score(b.column(at), cache) < threshold))
+        for b in lean(batches):
+            yield b.filter(pa.array(model.score(b.column(at)) < threshold))
 
     return documents.mapInArrow(run, documents.schema)
