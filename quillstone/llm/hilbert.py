@@ -1,15 +1,18 @@
 """Sharding along a Hilbert curve.
 
-Metadata columns are quantised (numbers and the first bytes of strings, by
-approximate quantiles), the cells are ordered by their index on a Hilbert
-curve, and the ordered rows are cut into runs, so that a shard's files cover a
-small box of all dimensions at once and filters on any of them prune files.
-Built-in functions only: range partitioning sorts the keys, and each task's
-number of rows and bytes, a row for each task, makes places global.
+Metadata columns are quantised (numbers by approximate quantiles, strings by
+exact ones: cut points are whole values), the cells are ordered by their index
+on a Hilbert curve, and the ordered rows are cut into runs, so that a shard's
+files cover a small box of all dimensions at once and filters on any of them
+prune files. Built-in functions only: range partitioning sorts the keys, and
+each task's number of rows and bytes, a row for each task, makes places global.
 
 Defined results: a null in a dimension lies before all values; a null text has
 no bytes; null and repeated ids are ordinary rows; ties on the curve are
-ordered by doc_id, text CRC and size. Each row gives one row of the output.
+ordered by doc_id, text CRC and size. Very long texts are rows of their size:
+under `rows` they change nothing, under `bytes` a shard may be longer by one of
+them. Each row gives one row of the output, and an empty table gives an empty
+one. A column with the name of an output column gets input_ before it.
 """
 
 from __future__ import annotations
@@ -24,14 +27,40 @@ from ._arrow import cut
 
 
 def ordinal(df: DataFrame, name: str) -> Column:
-    """A number that orders like the column: itself, or a string's first six bytes."""
+    """A value that orders like the column and has cut points: a double, or a string."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.NumericType):
         return F.col(name).cast("double")
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return F.unix_timestamp(F.col(name).cast("timestamp")).cast("double")
-    first = F.rpad(F.hex(F.substring(F.encode(F.col(name).cast("string"), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(first, 16, 10).cast("double")
+    return F.col(name).cast("string")
+
+
+def _numbered(df: DataFrame, size: str, *order: str) -> DataFrame:
+    """df sorted over all tasks, with __at and __task (a row's number in its task, and the task), __first, __rank and __before (rows, and the sum of `size`, of earlier tasks)."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # a task's rows are numbered in order; the task is in the upper bits
+    numbered = cut(ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.spark_partition_id()))
+    tasks = numbered.groupBy("__task").agg(F.count("*").alias("n"), F.min("__at").alias("__first"), F.sum(size).alias("total"))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each task of the sort, whatever the number of rows
+    tasks = tasks.select("__task", "__first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__rank"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("__before"))
+    return numbered.join(F.broadcast(tasks), "__task")
+
+
+def string_edges(rows: DataFrame, name: str, n: int) -> list[str]:
+    """The values at which the rows, ordered by the column, pass each n-th of all (at most n values, each once)."""
+    counted = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("value")).agg(F.count("*").alias("rows"))
+    placed = _numbered(counted, "rows", "value")
+    total = placed.agg(F.sum("rows")).first()[0]
+    if not total:
+        return []
+    within = Window.partitionBy("__task").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("__before") + F.coalesce(F.sum("rows").over(within), F.lit(0))
+    placed = placed.select("value", start.alias("start"), (start + F.col("rows")).alias("stop"))
+    # a value is a cut point if the rows up to it begin a new n-th
+    passed = placed.where(F.floor((F.col("start") - 1) * n / total) < F.floor((F.col("stop") - 1) * n / total))
+    return [r["value"] for r in passed.select("value").orderBy("value").collect()]
 
 
 def curve_index(cells: Sequence[Column], bits: int) -> Column:
@@ -92,24 +121,21 @@ def sharded(documents: DataFrame, dimensions: Sequence[str] = ("lang", "source",
     row = [F.struct(*carried).alias("__row")] if carried else []
     base = documents.select("doc_id", *row, (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), *[ordinal(documents, c).alias(f"__d{i}") for i, c in enumerate(dims)])
     rows = cut(base)
-    # cut points: at most 2^bits - 1 numbers of each dimension
+    # cut points: at most 2^bits of each dimension
     n = 1 << bits
-    points = rows.approxQuantile([f"__d{i}" for i in range(len(dims))], [k / n for k in range(1, n)], 0.25 / n) if dims else []
+    named = [f"__d{i}" for i in range(len(dims))]
+    numbers = [c for c in named if rows.schema[c].dataType == T.DoubleType()]
+    points = dict(zip(numbers, rows.approxQuantile(numbers, [k / n for k in range(1, n)], 0.25 / n), strict=True)) if numbers else {}
     cells = []
-    for i, p in enumerate(points):
-        edges = F.array(*[F.lit(float(x)) for x in sorted(set(p))]) if p else F.array().cast("array<double>")
-        cells.append(_cell(edges, F.col(f"__d{i}")))
+    for c in named:
+        values = sorted({float(x) for x in points[c]}) if c in points else string_edges(rows, c, n - 1)
+        edges = F.array(*[F.lit(x) for x in values]) if values else F.array().cast(f"array<{rows.schema[c].dataType.simpleString()}>")
+        cells.append(_cell(edges, F.col(c)))
     placed = rows.withColumn("curve", curve_index(cells, bits) if cells else F.lit(0).cast("long"))
     order = ["curve", "doc_id", "text_crc32", "size"]
-    ranged = placed.select("doc_id", "size", "text_crc32", "curve", *["__row" for _ in row]).repartitionByRange(*order).sortWithinPartitions(*order)
-    # a task's rows are numbered in order; the task is in the upper bits
-    numbered = cut(ranged.withColumn("__at", F.monotonically_increasing_id()).withColumn("__task", F.spark_partition_id()))
-    tasks = numbered.groupBy("__task").agg(F.count("*").alias("n"), F.min("__at").alias("first"), F.sum("size").alias("bytes"))
-    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    # a row for each task of the sort, whatever the number of rows
-    tasks = tasks.select("__task", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
+    numbered = _numbered(placed.select("doc_id", "size", "text_crc32", "curve", *["__row" for _ in row]), "size", *order)
     total = numbered.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    ranked = numbered.join(F.broadcast(tasks), "__task").withColumn("rank", F.col("__at") - F.col("first") + F.col("before"))
+    ranked = numbered.withColumn("rank", F.col("__at") - F.col("__first") + F.col("__rank"))
     if law == "rows":
         small, extra = divmod(total["n"], shards)
         # the first `extra` shards have a row more
@@ -119,10 +145,10 @@ def sharded(documents: DataFrame, dimensions: Sequence[str] = ("lang", "source",
         out = ranked.withColumns({"shard": shard.cast("int"), "slot": slot.cast("long")})
     else:
         within = Window.partitionBy("__task").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-        out = ranked.withColumn("__start", F.col("bytes_before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+        out = ranked.withColumn("__start", F.col("__before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
         out = cut(out.withColumn("shard", F.floor(F.col("__start") * shards / max(1, total["bytes"])).cast("int")))
-        firsts = out.groupBy("shard").agg(F.min("rank").alias("__first"))
-        out = out.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("rank") - F.col("__first"))
+        firsts = out.groupBy("shard").agg(F.min("rank").alias("__start_rank"))
+        out = out.join(F.broadcast(firsts), "shard").withColumn("slot", F.col("rank") - F.col("__start_rank"))
     return out.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve", *[F.col("__row")[c].alias(name) for c, name in carried.items()])
 
 

@@ -81,3 +81,35 @@ def test_html_query(spark, sf):
     assert len(got) == pages.count() + 1
     assert all("<p>" not in r["text"] and "track(" not in r["text"] for r in got) and {r["text"] for r in got if r["page_id"] is None} == {""}
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_strings_with_a_common_beginning_are_told_apart(spark):
+    df = spark.createDataFrame([(i, "t", f"https://site{i % 4}", None, None) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = hilbert.sharded(df).collect()
+    assert len({r["curve"] for r in got}) == 4
+    assert hilbert.string_edges(df, "lang", 63) == [f"https://site{k}" for k in range(4)] and hilbert.string_edges(df, "source", 63) == []
+    assert len(hilbert.string_edges(spark.range(1000).selectExpr("lpad(id, 5, '0') v"), "v", 7)) == 7
+
+
+def test_curve_prunes_more_than_chance(spark, sf):
+    """Of 16 shards, a filter on any one dimension must read fewer than of shards by chance."""
+    df = spark.read.parquet(sf.replace("0.001", "0.01") + "/documents.parquet")
+    rows = hilbert.sharded(df).select("shard", "lang", "source", "n_chars", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("chance")).collect()
+
+    def read(shard, keep):
+        """Shards whose range of the dimension meets the filter."""
+        out = 0
+        for s in range(16):
+            own = [r for r in rows if r[shard] == s]
+            out += keep(own)
+        return out
+
+    def spans(shard):
+        total = 0
+        for c in ("lang", "source", "n_chars"):
+            values = sorted({r[c] for r in rows})
+            for v in values[:: max(1, len(values) // 20)]:
+                total += read(shard, lambda own, c=c, v=v: min(r[c] for r in own) <= v <= max(r[c] for r in own))
+        return total
+
+    assert spans("shard") < 0.7 * spans("chance")
