@@ -88,7 +88,7 @@ FROM marked GROUP BY doc_id
 
 
 def op8_sql() -> str:
-    strict, soft = ("".join(f" + CASE WHEN regexp_matches(lower(url), '(^|[^a-z0-9]){t}([^a-z0-9]|$)') THEN 1 ELSE 0 END" for t in terms) for terms in (url_filter.STRICT, url_filter.SOFT))
+    strict, soft = ("".join(rf" + CASE WHEN regexp_matches(lower(url), '(^|[^\p{{L}}\p{{N}}]){t}([^\p{{L}}\p{{N}}]|$)') THEN 1 ELSE 0 END" for t in terms) for terms in (url_filter.STRICT, url_filter.SOFT))
     ordered = sorted(url_filter.RULES, key=lambda r: (-len(r[0] + r[1]), r[:2]))
     rules = "\n".join(f"    WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'" for h, p, _ in ordered)
     verdicts = "\n".join(f"    WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in ordered)
@@ -108,7 +108,7 @@ SELECT page_id, host, path, rule,
   CASE
 {verdicts}
     WHEN n_strict > 0 OR n_soft >= {url_filter.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict,
-  n_strict, n_soft
+  n_strict, n_soft, n_strict * {url_filter.LIMIT} + n_soft * {url_filter.LIMIT / url_filter.SOFT_HITS}::DOUBLE AS weight
 FROM ruled
 """
 

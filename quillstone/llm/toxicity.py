@@ -2,13 +2,14 @@
 
 Windows of running text (about WINDOW bytes from a word's start on, a new one
 every STEP bytes) are compressed twice, with a zstandard dictionary trained on
-ordinary texts, and with the same followed by one trained on toxic passages. A
-window's gain is the difference of the two lengths.
+ordinary texts, and with the same after one trained on toxic passages, so that
+ordinary matches cost the same in both. A window's gain is the difference of
+the two lengths.
 
 Toxic documents are mostly ordinary text. So their passages are found by
 compression too: dictionaries trained on the whole texts of some toxic
-documents compress the others, and windows whose gain is reached by one
-ordinary window in a hundred only are the passages. The dictionaries that
+documents compress the others, and windows whose gain is passed by one ordinary
+window in fifty only are the passages. The dictionaries that
 judge are trained on those.
 
 A document's score is a logistic function of how many windows reach each gain.
@@ -40,14 +41,17 @@ from ._arrow import LOWER, lean, per_text, pieces, utf8
 #: Bytes of a window, and of the shortest distance from one to the next. zstd starts no match in a block's last eight
 #: bytes, so this leaves words of up to twelve bytes whole in some window.
 WINDOW, STEP = 32, 12
-LEVEL = 3
-#: Bytes of the ordinary dictionary, of the toxic one while passages are searched, and of the toxic one.
-ORDINARY_BYTES, SEARCH_BYTES, TOXIC_BYTES = 112 << 10, 8 << 10, 1536
+#: A level whose matches are searched in chains: the tables of faster levels forget most places of a dictionary.
+LEVEL = 10
+#: Bytes of the ordinary dictionary, and of the toxic one while passages are searched.
+ORDINARY_BYTES, SEARCH_BYTES = 112 << 10, 8 << 10
+#: The toxic dictionary is trained in two parts (bytes, bytes of a segment, bytes that must recur): for phrases and long words, and for short ones.
+TOXIC_PARTS = ((1536, 12, 8), (512, 8, 6))
 #: Passages have a gain that this share of ordinary windows doesn't exceed.
-QUANTILE = 0.99
+QUANTILE = 0.98
 FOLDS = 4
 #: Gains at which windows are counted.
-GAINS = (2, 3, 4, 5, 6, 8, 10)
+GAINS = (1, 2, 3, 4, 5, 6, 8)
 #: Bytes of text of which the windows are held at once.
 BLOCK = STEP << 16
 
@@ -108,7 +112,7 @@ class ToxicityModel:
     def gains(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(n + 1 offsets of the texts' windows, gain of each window) of lower-cased texts of a piece."""
         if self._ready is None:
-            self._ready = [_compressor(x) for x in (self.ordinary, self.ordinary + self.toxic)]
+            self._ready = [_compressor(x) for x in (self.ordinary, self.toxic + self.ordinary)]
         return _gains(texts, *self._ready)
 
     def features(self, texts: pa.Array) -> np.ndarray:
@@ -174,7 +178,7 @@ def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0, odds: float |
     column = lambda ts: pa.array([t.decode() for t in ts], pa.string())
 
     def under(toxic: bytes, ts: list[bytes], by):
-        judge = _compressor(base + toxic)
+        judge = _compressor(toxic + base)
         return [by(t, *_gains(t, plain, judge)) for _, t in pieces(column(ts))] if ts else []
 
     parts = range(min(FOLDS, max(2, len(bad))))
@@ -195,7 +199,7 @@ def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0, odds: float |
             return [data[a:b] for a, b in zip(starts[gain > least], ends[gain > least], strict=True)]
 
         passages.append([w for ws in under(first, of(bad, f), found) for w in ws])
-    trained = lambda chosen: _dictionary([w for ws in chosen for w in ws], TOXIC_BYTES, 12, 8)
+    trained = lambda chosen: b"".join(_dictionary([w for ws in chosen for w in ws], *part) for part in TOXIC_PARTS)
     rows, marks = [], []
     for f in parts:
         apart = trained([p for g, p in enumerate(passages) if g != f])

@@ -16,38 +16,48 @@ def test_language_code_lengths_by_definition():
         raw = b"".join(language_id.START + t.encode() for t in ts)
         grams, n = np.unique([int.from_bytes(raw[i : i + 4], "big") for i in range(len(raw) - 3)], return_counts=True)
         counts[lang] = (grams.astype(np.int64), n)
-    for most in (3, 30_000):
-        model = language_id.model_of(counts, most)
-        got = model.code_lengths(pa.array(["abx hello q", "", "zz"]))
-        m = int(model.symbol.max()) + 1
-        kept = np.flatnonzero(model.node < model.node.max() - m * m + 1)
-        for row, text in zip(got, ["abx hello q", "", "zz"]):
-            for j, lang in enumerate(model.languages):
-                table = {}
-                for g, n in zip(*counts[lang]):
-                    b = int(g).to_bytes(4, "big")
-                    for k in range(4):
-                        table.setdefault(b[3 - k : 3], {}).setdefault(b[3], 0)
-                        table[b[3 - k : 3]][b[3]] += int(n)
-
-                def p(context, byte, table=table):
-                    if context is None:
-                        return 1 / 256
-                    lower = p(context[1:] if context else None, byte)
-                    c = table.get(context)
-                    if len(context) == 3:
-                        s = [int(model.symbol[x]) for x in context]
-                        if (s[0] * m + s[1]) * m + s[2] not in kept:
-                            return lower
-                    if not c:
-                        return lower
-                    some = sum(c.values()) + len(c)
-                    return c[byte] / some if byte in c else len(c) / some * lower
-
-                full = language_id.START + text.encode()
-                # bytes that no sampled text has share the symbol 0
-                want = sum(-np.log2(p(full[i - 3 : i], full[i])) for i in range(3, len(full)))
-                assert abs(row[j] - want) < 1e-2
+    model = language_id.model_of(counts)
+    got = model.code_lengths(pa.array(["abx hello q", "", "zz"]))
+    for row, text in zip(got, ["abx hello q", "", "zz"]):
+        for j, lang in enumerate(model.languages):
+            table = {}
+            for g, n in zip(*counts[lang]):
+                b = int(g).to_bytes(4, "big")
+                for k in range(4):
+                    table.setdefault(b[3 - k : 3], {}).setdefault(b[3], 0)
+                    table[b[3 - k : 3]][b[3]] += int(n)
+
+            def p(context, byte, table=table):
+                if context is None:
+                    return 1 / 256
+                lower = p(context[1:] if context else None, byte)
+                c = table.get(context)
+                if not c:
+                    return lower
+                some = sum(c.values()) + len(c)
+                return c[byte] / some if byte in c else len(c) / some * lower
+
+            full = language_id.START + text.encode()
+            want = sum(-np.log2(p(full[i - 3 : i], full[i])) for i in range(3, len(full)))
+            assert abs(row[j] - want) < 1e-6
+
+
+def test_language_counts_and_long_texts(spark, monkeypatch):
+    """The trees hold every 4-gram of the labelled texts, rare ones included; blocks of a long text add up to it."""
+    rows = [(1, "abcd abcd xyz", "x"), (2, "q once", "x"), (3, "zzz", "y"), (4, "never", None)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for tree, texts in zip(model.trees, (["abcd abcd xyz", "q once"], ["zzz"])):
+        want = {}
+        for t in texts:
+            raw = language_id.START + t.encode()
+            for i in range(len(raw) - 3):
+                want[raw[i : i + 4]] = want.get(raw[i : i + 4], 0) + 1
+        kept = {int(g).to_bytes(4, "big") for g in tree.grams[3]}
+        assert set(want) <= kept and len(kept) <= len(want) + 3 * len(texts)
+    text = "abcd xyz q once " * 400
+    whole = model.code_lengths(pa.array([text]))
+    monkeypatch.setattr(language_id, "CHUNK_BYTES", 1000)
+    assert np.allclose(model.code_lengths(pa.array([text])), whole)
 
 
 def test_language_accuracy(spark, sf):
@@ -62,7 +72,7 @@ def test_language_accuracy(spark, sf):
 def test_language_edge_cases(spark):
     rows = [(1, "the cat sat on the mat and the dog", "en", 1), (2, "der hund und die katze sind hier", "de", 1), (3, None, "en", 1), (4, "12 !?", None, 1), (None, "the mat", None, 1), (5, "", None, 1), (6, "und die katze", None, 1), (6, "und die katze", None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
-    got = language_id.identified(df, language_id.train(df, min_count=1)).collect()
+    got = language_id.identified(df, language_id.train(df)).collect()
     assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in got) == [(0, "en"), (1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (6, "de"), (6, "de")]
     nothing = language_id.train(df.withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in language_id.identified(df, nothing).collect()} == {"und"}
@@ -87,7 +97,7 @@ def test_toxicity_held_out(spark, sf):
 
 
 def test_toxicity_edge_cases(spark):
-    rows = [(i, f"some ordinary words {i} in a text", 1.0) for i in range(30)] + [(100 + i, f"you vileword number {i} here", 1.0) for i in range(30)] + [(7, None, 1.0), (None, "vileword", 1.0), (8, "", 1.0), (9, "x" * 300_000, 1.0)]
+    rows = [(i, f"some ordinary words {i} in a text", 1.0) for i in range(30)] + [(100 + i, f"you vileword number {i} here", 1.0) for i in range(30)] + [(7, None, 1.0), (None, "you vileword number 5 here", 1.0), (8, "", 1.0), (9, "x" * 300_000, 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
     labels = spark.createDataFrame([(i, 0) for i in range(30)] + [(100 + i, 1) for i in range(30)] + [(None, 1), (5, None), (6, 3)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels)
@@ -100,6 +110,39 @@ def test_toxicity_edge_cases(spark):
     assert {r["score"] for r in toxicity.scored(docs, empty).collect()} == {0.0} and toxicity.scored(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_windows_and_gains():
+    """Windows and gains by the definition, one window and one text at a time; a long text is the sum of its blocks."""
+    texts = ["one two  three\nfour fiveandalongword " * 20, "", "x", "end vileword"]
+    model = toxicity.fit(["you vileword number %d here" % i for i in range(40)], ["some ordinary words %d in a text" % i for i in range(40)])
+    raw, offsets = toxicity._padded(pa.array(texts))
+    text, starts, ends = toxicity.windows(raw, offsets)
+    got = [(int(t), raw[a:b].tobytes()) for t, a, b in zip(text, starts, ends)]
+    want = []
+    for i, t in enumerate(texts):
+        padded, last = " " + t + " " * 8, None
+        for j in range(1, len(padded)):
+            if padded[j - 1].isspace() and not padded[j].isspace() and j // toxicity.STEP != last:
+                last = j // toxicity.STEP
+                want.append((i, padded[j : j + toxicity.WINDOW].encode()))
+    assert got == want
+    at, gain = model.gains(pa.array(texts))
+    one, two = (toxicity._compressor(x) for x in (model.ordinary, model.toxic + model.ordinary))
+    assert gain.tolist() == [len(one.compress(w)) - len(two.compress(w)) for _, w in want] and at.tolist() == [sum(i < k for i, _ in want) for k in range(5)]
+    assert gain[-1] > 2
+
+
+def test_toxicity_dictionaries_are_trained_on_whole_texts_of_both_classes(spark):
+    """A toxic word that stands behind 40,000 ordinary characters is learnt."""
+    filler = "plain words of an ordinary text come here again and again, " * 700
+    rows = [(i, f"{filler} {i} you vileword number {i} here" if i % 5 == 0 else f"{filler} {i} nothing else here") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert b"vileword" in model.toxic and b"ordinary text" in model.ordinary and b"vileword" not in model.ordinary
+    score = model.score(pa.array([f"{filler} but you vileword number 9 here", filler]))
+    assert score[0] > score[1]
+
+
 def test_toxicity_odds_past_both_limits(spark):
     """The same population at ten times the rows, of which both samples are full, is given the same odds."""
     means = []
@@ -108,5 +151,5 @@ def test_toxicity_odds_past_both_limits(spark):
         rows = [(i, f"you vileword number {i} here" if (i % 10 == 0) ^ (i // 10 % 10 == 0) else f"some ordinary words {i} in a text", int(i % 10 == 0)) for i in range(n)]
         df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
         model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), toxic_rows=400, ordinary_rows=800)
-        means.append(model.score(pa.array([t for _, t, _ in rows]), {}).mean())
+        means.append(model.score(pa.array([t for _, t, _ in rows])).mean())
     assert np.allclose(means, 0.1, atol=0.03), means

@@ -1,5 +1,8 @@
+import random
 import re
 
+from pyspark.sql import functions as F
+
 from quillstone.llm import decontaminate
 
 ITEMS = [(1, "Yesterday morning Anna bought 12 apples and Peter sold 30 pears for 5 dollars at the old market near the river"), (2, "the quick brown fox jumps over the lazy dog while the small cat sleeps under a warm table in the kitchen"), (3, "too short item"), (None, "no id here at all but many words to find in some text anyway"), (4, None)]
@@ -93,3 +96,74 @@ def test_equals_brute_force_on_documents(spark, sf):
     want = {(d, i) for i, w in items for g in [grams(w)] for d, have in own if len(g & have) >= min(6, -(-len(g) // 2))}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert want <= got and len(got - want) <= 2
+
+
+def test_rows_are_removed_by_id_and_text(spark):
+    """Null ids go where their text holds an item; a clean row that shares an id with a contaminated one stays; columns of any name are carried."""
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(None, ITEMS[1][1], "d"), (None, FILL, "d"), (7, "so " + ITEMS[1][1], "d"), (7, FILL, "d"), (7, FILL, "d"), (8, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, doc string").withColumn("tag", F.lit(1)).withColumn("item_id", F.lit("i"))
+    out = decontaminate.without_benchmark(d, b)
+    assert out.columns == d.columns and sorted((r["doc_id"] or 0, r["text"]) for r in out.where("text is not null").collect()) == [(0, FILL), (7, FILL), (7, FILL)] and out.count() == 4
+    assert [tuple(r)[:2] for r in decontaminate.contaminated(d, b).collect()] == [(7, 2)]
+
+
+def test_names_of_several_words_and_number_words(spark):
+    b = spark.createDataFrame([(1, "yesterday morning Anna bought seven apples and Peter sold thirty pears at the old market near the river")], "item_id long, text string")
+    d = spark.createDataFrame([(1, FILL + "yesterday morning Maria Luisa Lopez bought 9 apples and Jan van sold 40 pears at the old market near the river"), (2, FILL)], "doc_id long, text string")
+    assert [tuple(r)[:2] for r in decontaminate.contaminated(d, b).collect()] == [(1, 1)]
+
+
+def brute_with_slots(docs, items, window=8, run=13, literals=4):
+    """Pairs by the docstring, from tokens that Spark gives: windows on diagonals, stretches, conflicting slots."""
+    kind = lambda t: t[:2] if t[0] == "\x01" else decontaminate.UNIT if t in decontaminate.UNITS else decontaminate.NUMBER if t in decontaminate.NUMBER_WORDS else t
+    found = set()
+    for d, text in docs:
+        for i, item in items:
+            own = {k for k in range(len(item) - window + 1) if sum(not kind(t).startswith("\x01") for t in item[k : k + window]) >= literals}
+            left = set()
+            for diagonal in range(-len(item), len(text)):
+                hits = [k for k in sorted(own) if 0 <= k + diagonal <= len(text) - window and [kind(t) for t in item[k : k + window]] == [kind(t) for t in text[k + diagonal : k + diagonal + window]]]
+                stretches = []
+                for k in hits:
+                    if stretches and stretches[-1][-1] == k - 1:
+                        stretches[-1].append(k)
+                    else:
+                        stretches.append([k])
+                for stretch in stretches:
+                    slots = [s for s in range(stretch[0], stretch[-1] + window) if kind(item[s]).startswith("\x01")]
+                    key = lambda s: (item[s], item[s + 1] if kind(item[s]) == decontaminate.NUMBER and s + 1 < len(item) and item[s + 1] in decontaminate.UNITS else "")
+                    torn = {s for s in slots if text[s + diagonal] != item[s] and 2 * sum(key(x) == key(s) and text[x + diagonal] == text[s + diagonal] for x in slots) <= sum(key(x) == key(s) for x in slots)}
+                    left |= {k for k in stretch if not torn & set(range(k, k + window))}
+            if own and len(left) >= min(run - window + 1, -(-len(own) // 2)):
+                found.add((d, i))
+    return found
+
+
+def test_equals_brute_force_with_slots(spark):
+    rng = random.Random(3)
+    names, units = ["Anna", "Peter", "Maria Luisa", "Jan"], ["km", "days", "dollars"]
+
+    def sentence(values=None):
+        out = []
+        for t in template:
+            kind, key = t
+            out.append(key if kind == "w" else values.setdefault((kind, key), rng.choice(names) if kind == "n" else str(rng.randrange(50)) if kind == "d" else rng.choice(units)))
+        return out
+
+    docs, items = [], []
+    for i in range(25):
+        template = [rng.choice([("w", rng.choice("red blue green house tree runs slowly over under with".split()))] * 3 + [("n", rng.randrange(2)), ("d", rng.randrange(2))]) for _ in range(rng.randint(10, 30))]
+        items.append((i, "start " + " ".join(sentence({}))))
+        for j in range(6):
+            words = sentence({})
+            for _ in range(rng.choice([0, 0, 1, 3])):  # a slot or word that doesn't fit
+                words[rng.randrange(len(words))] = rng.choice(["77", "Eva", "other"])
+            docs.append((100 * i + j, "before it start " + " ".join(words) + rng.choice([" after", ""])))
+    schema = "id long, text string"
+    cut = lambda rows: [(r["id"], r["t"]) for r in spark.createDataFrame(rows, schema).select("id", decontaminate.tokens(F.col("text")).alias("t")).collect()]
+    want = brute_with_slots(cut(docs), cut(items))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    usable = {i for i, t in cut(items) if brute_with_slots([(0, t)], [(i, t)])}
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect() if r["item_id"] in usable}
+    assert got == want and 30 < len(want) < 150

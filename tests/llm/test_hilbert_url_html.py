@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 import zlib
 
 import pytest
@@ -64,6 +66,69 @@ def test_urls(spark):
     assert url_filter.judged(df.limit(0)).count() == 0
 
 
+def test_url_weights_from_a_table(spark):
+    terms = spark.createDataFrame([("Bad", 1.0), ("half", 0.5), ("half", 0.2), ("third", 0.34), ("", 1.0), (None, 1.0), ("none", None)], "term string, weight double")
+    weights = url_filter.vocabulary(terms)
+    assert weights == {"bad": 1.0, "half": 0.5, "third": 0.34}
+    long = "http://x.net/" + "a" * 100_000 + "/bad"
+    urls = ["http://x.net/bad", "http://x.net/half/half", "http://x.net/half/third", "http://x.net/half-third-half", "http://bad.org/", long, "http://x.net/badé", long]
+    df = spark.createDataFrame([(i % 7, u, "x") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
+    got = [(r["page_id"], r["verdict"]) for r in url_filter.judged(df, weights=weights).collect()]
+    assert sorted(got) == sorted([(0, "block"), (1, "allow"), (2, "allow"), (3, "allow"), (4, "allow"), (5, "block"), (6, "allow"), (0, "block")])
+
+
+def layout(rng, depth=0):
+    """A random piece of a page: (HTML with many end tags left out, lines that it renders as)."""
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 7)))
+    kind = rng.choice(["p", "p", "table", "ul", "ol"] if depth < 3 else ["p"])
+    blank = lambda: rng.choice(["", " ", "\n", "\n\t "])
+    if kind == "p":
+        words = [word() for _ in range(rng.randint(1, 9))]
+        return "<p>" + blank() + (" " + blank()).join(w if rng.random() < 0.7 else f"<b>{w}</b>" for w in words) + blank() + rng.choice(["", "</p>"]), [" ".join(words)]
+    if kind == "table":
+        n = rng.randint(1, 4)
+        rows = [[word() for _ in range(n)] for _ in range(rng.randint(1, 4))]
+        widths = [max(len(r[i]) for r in rows) for i in range(n - 1)] + [0]
+        code = "<table>" + rng.choice(["", "<tbody>"]) + "".join("<tr>" + "".join(rng.choice(["<td>", "<th>"]) + c + rng.choice(["", "</td>", "</th>"][:1]) + blank() for c in r) for r in rows) + "</table>"
+        return code, ["  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows]
+    code, lines = f"<{kind}>", []
+    for i in range(rng.randint(1, 3)):
+        mark = f"{i + 1}. " if kind == "ol" else "- "
+        parts = [layout(rng, depth + 1) for _ in range(rng.randint(1, 2))]
+        code += "<li>" + blank() + blank().join(p for p, _ in parts)
+        own = [x for _, ls in parts for x in ls]
+        lines += [(mark if j == 0 else " " * len(mark)) + x for j, x in enumerate(own)]
+    return code + f"</{kind}>", lines
+
+
+def test_html_random_layouts():
+    """Pages made from a layout render as that layout."""
+    rng = random.Random(11)
+    for _ in range(400):
+        parts = [layout(rng) for _ in range(rng.randint(1, 4))]
+        code = rng.choice(["", "<html><head><title>t</title></head><body>"]) + "".join(p for p, _ in parts)
+        assert html_text.text_of(code) == "\n\n".join("\n".join(ls) for _, ls in parts), code
+
+
+def test_html_visibility_and_spans():
+    text = html_text.text_of
+    assert text("<style>.a{display:none}.a.b{display:block} #x,p.q{visibility:hidden} @media print{div{display:none}} u{display:none;}</style><div class=a>no</div><div class='a b'>yes</div><p id=x>gone <b style='visibility:visible'>seen</b></p><p class=q>no</p><u>no</u>") == "yes\n\nseen"
+    assert text("<select><option>One<option>Two</select><textarea>some\n text &amp; more</textarea>") == "One\nTwo\nsome\n text & more"
+    assert text("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>dd<td>e</table>") == "a   b\n    c\ndd  e"
+    assert text("<table><tr><td colspan=150>a<td>b<tr>" + "".join(f"<td>{i % 10}" for i in range(151)) + "</table>").split("\n")[0].split() == ["a", "b"]
+    assert text("<table><tr><td colspan=x rowspan=0>a<td>b</table>") == "a  b"
+    deep = text("<ul><li>" * 30 + "x" + "<table><tr><td>a<td>b</table>")
+    assert deep.split("\n")[0] == "- " * 30 + "x" and deep.endswith(" " * 60 + "a  b")
+
+
+@pytest.mark.parametrize("tag", ["div", "ul><li", "table><tr><td", "p", "b", "x-y"])
+def test_html_time_is_linear_in_nesting(tag):
+    page = f"<{tag}>" * 20_000 + "deep"
+    start = time.process_time()
+    assert html_text.text_of(page).endswith("deep")
+    assert time.process_time() - start < 8
+
+
 def test_html_layout():
     text = html_text.text_of
     assert text("<ul><li>one<li>two<ol start=3><li>a<p>b<li>c</ol></ul>x") == "- one\n- two\n  3. a\n     b\n  4. c\n\nx"

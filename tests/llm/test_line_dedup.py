@@ -1,5 +1,7 @@
 import zlib
 
+import pytest
+
 from brute import line_dedup as brute
 from pyspark.sql import functions as F
 
@@ -49,3 +51,13 @@ def test_bitmaps(spark):
     bits = line_dedup.keep_bitmaps(frame(spark, rows)).collect()
     assert len(bits) == 1 and bits[0]["n_dropped"] == 1 and len(zlib.decompress(bits[0]["keep"])) == 2
     assert line_dedup.kept_text(rows[1][1], bits[0]["keep"]) == "b"
+
+
+def test_clashing_columns_and_ids_without_order(spark):
+    names = ["doc", "tag", "keep", "row", "n_dropped", "__doc", "__keep", "pos"]
+    df = spark.createDataFrame([(1, "a line that both have\nx", *names), (2, "a line that both have\ny", *names)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = {r["doc_id"]: r for r in line_dedup.without_repeated_lines(df).collect()}
+    assert out[2]["text"] == "y" and out[1]["text"] == "a line that both have\nx" and all(out[i][n] == n for i in out for n in names)
+    assert line_dedup.digests(df).count() == 2
+    with pytest.raises(TypeError):
+        line_dedup.digests(df.withColumn("doc_id", F.lit("a")))

@@ -63,3 +63,36 @@ def test_edge_cases(spark):
     kept = near_dedup.one_of_each(df, 2)
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"]) == [1, 2, 3, 4, 6, 8, 9]
+
+
+def test_templated_documents_in_mixed_buckets(spark):
+    """Documents that share half of their text don't link, but fill buckets; pairs among them that do link are found."""
+    rng = random.Random(9)
+    frame = [f"t{i}" for i in range(75)]
+    rows = [(i, " ".join(frame + [f"n{rng.randrange(10**6)}" for _ in range(25)])) for i in range(700)]
+    rows += [(1000 + i, t.rsplit(" ", 4)[0] + f" e{i} f{i} g{i} h{i}") for i, t in rows[::70]]
+    got = found(spark, rows)
+    want = classes(rows, 2)
+    assert {i: r["component_id"] for i, r in got.items()} == want and sum(want[i] != i for i, _ in rows) >= 10
+
+
+def test_sketches_estimate_high_similarities():
+    """The bound passes pairs at the similarity and rejects most pairs well under it."""
+    rng = np.random.default_rng(4)
+    for share, passes in ((0.8, True), (0.5, False)):
+        differing = []
+        for _ in range(60):
+            common, own = rng.integers(0, 1 << 63, int(2000 * share)), [rng.integers(0, 1 << 63, int(1000 * (1 - share))) for _ in range(2)]
+            sets = [np.unique(np.concatenate([common, o]).astype(np.uint64)) for o in own]
+            sig = near_dedup._signatures(np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])]), np.concatenate(sets))
+            x = near_dedup.odd_sketch(sig).view(np.uint64)
+            j = len(np.intersect1d(*sets)) / len(np.union1d(*sets))
+            differing.append(np.bitwise_count(x[0] ^ x[1]).sum() <= near_dedup.most_differing(j if passes else 0.85))
+        assert np.mean(differing) > 0.99 if passes else np.mean(differing) < 0.05
+
+
+def test_long_texts_in_runs(monkeypatch):
+    text = pa.array([" ".join(f"w{i % 400}" for i in range(5000))])
+    whole = near_dedup.shingle_sets(text, 5)[1]
+    monkeypatch.setattr(near_dedup, "WORDS_AT_ONCE", 300)
+    assert np.array_equal(near_dedup.shingle_sets(text, 5)[1], whole)

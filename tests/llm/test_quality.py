@@ -35,3 +35,40 @@ def test_limits_of_long_and_short_texts(spark):
     got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r["kept"] for i, r in got.items()} == {1: False, 2: True, 3: True, 4: False}
     assert not any(r["base_failed"] for r in got.values()) and got[3]["dup_chars_10"] > quality.NGRAM_LIMITS[10] * got[3]["word_chars"]
+
+
+def test_each_length_decides_alone(spark):
+    """For each n-gram length a text in which only the limit of that length is passed; limits fall with length."""
+    limits = quality.NGRAM_LIMITS
+    assert sorted(limits) == list(range(5, 11)) and all(limits[n] > limits[n + 1] for n in range(5, 10))
+    rows = []
+    for n, limit in limits.items():
+        # runs of exactly n words, each found twice: all shorter n-grams are repeated as well, longer ones aren't
+        runs = int((limit + 0.005) * 10_000 / (2 * n))
+        words, fresh = [], iter(range(10**6))
+        for twice in (0, 1):
+            for r in range(runs):
+                words += [f"r{r:04d}{j:02d}{n:02d}" for j in range(n)]
+                words += [f"f{next(fresh):08d}"]
+        words += [f"f{next(fresh):08d}" for _ in range(10_000 - len(words))]
+        rows.append((n, " ".join(words)))
+    got = {r["doc_id"]: r for r in quality.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, r in got.items():
+        over = [k for k, limit in limits.items() if r[f"dup_chars_{k}"] > limit * r["word_chars"]]
+        assert over == [n] and not r["kept"] and not r["base_failed"], (n, over)
+
+
+def test_long_texts_in_segments(monkeypatch):
+    """Segments of a long text give the same counts as the whole text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from quillstone.llm import _arrow
+
+    text = pa.array([("some words of a line that comes again\n" + " ".join(f"w{i}é" for i in range(300)) + "\n") * 7])
+    whole = quality.repetition(text)
+    cut = lambda x, limit=0: _segments(x, 500)
+    _segments = _arrow.segments
+    monkeypatch.setattr(_arrow, "segments", cut)
+    parts = quality.repetition(text)
+    assert all(np.array_equal(whole[k], parts[k]) for k in whole) and len(list(cut(text))) > 10
