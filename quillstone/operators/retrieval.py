@@ -6,6 +6,8 @@ are rounded before they order anything, and ties end in chunk_id.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ BROADCAST_ROWS = 100_000
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most so many rows; else joins shuffle."""
-    return F.broadcast(df) if len(df.limit(rows + 1).take(rows + 1)) <= rows else df
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def top(df: DataFrame, k: int, by: Column, *keys: str, tie: str = "chunk_id") -> DataFrame:
@@ -52,22 +54,29 @@ def bm25(corpus: DataFrame, questions: DataFrame, k: int = 10, k1: float = 1.5,
     """qid, chunk_id, bm25_raw, bm25_score (over the question's best), rank.
 
     keys split the corpus into collections with statistics and results of
-    their own. A chunk's postings are cut down to the questions' terms before
-    anything is shuffled; the corpus' size and mean length come from counts.
+    their own. The corpus is cut into tokens once: a chunk's postings, cut down
+    to the questions' terms, and an empty term that stands for the chunk itself
+    meet in one exchange, which gives the document frequencies, the number of
+    chunks and their mean length as well (Spark reads it again for those).
     """
     terms = question_terms(questions)
-    wanted = small(terms.select("term").distinct())
-    counted = corpus.select(*keys, "chunk_id", coarse_tokens(F.col("content")).alias("tokens"))
-    stats = counted.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avg_dl"))
-    postings = counted.select(*keys, "chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
-    postings = postings.groupBy(*keys, "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy(*keys, "term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(stats) if not keys else stats
-    weighed = postings.join(df, [*keys, "term"])
-    weighed = weighed.join(stats, list(keys)) if keys else weighed.crossJoin(stats)  # one row of statistics
+    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    hint = F.broadcast if few else (lambda df: df)
+    chunk = F.lit("")
+    wanted = terms.select("term").unionByName(questions.sparkSession.range(1).select(chunk.alias("term"))).distinct()
+    tokens = corpus.select(*keys, "chunk_id", coarse_tokens(F.col("content")).alias("tokens"))
+    each = tokens.select(*keys, "chunk_id", F.size("tokens").alias("dl"), F.explode(F.concat("tokens", F.array(chunk))).alias("term"))
+    postings = each.join(hint(wanted), "term", "left_semi").groupBy(*keys, "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+    # sums over tf > 0, which always holds, so that this is the same exchange as that of the postings
+    held = F.col("tf") > 0
+    by_term = postings.groupBy(*keys, "term").agg(F.count_if(held).alias("df"), F.sum(F.when(held, F.col("dl"))).alias("total"), F.max(F.when(held, F.col("term") == "")).alias("whole"))
+    stats = by_term.where("whole").select(*keys, F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avg_dl"))
+    df = by_term.where("not whole").select(*keys, "term", "df")
+    df = df.join(F.broadcast(stats) if not keys else stats, list(keys)) if keys else df.crossJoin(F.broadcast(stats))  # one row of statistics
+    weighed = postings.join(hint(df) if not keys else small(df), [*keys, "term"])
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.greatest(F.col("dl"), F.lit(1)) / F.greatest(F.col("avg_dl"), F.lit(1e-6))))
-    scored = weighed.select(*keys, "chunk_id", "term", part.alias("part")).join(small(terms), "term")
+    scored = weighed.select(*keys, "chunk_id", "term", part.alias("part")).join(hint(terms), "term")
     scored = scored.groupBy("qid", *keys, "chunk_id").agg(F.round(F.sum("part"), 8).alias("bm25_raw")).where("bm25_raw > 0")
     best = top(scored, k, F.col("bm25_raw"), "qid", *keys)
     most = F.max("bm25_raw").over(Window.partitionBy("qid", *keys))
@@ -89,28 +98,34 @@ def dense(corpus: DataFrame, questions: DataFrame, k: int = 10, digits: int = 6)
     """qid, chunk_id, dense_score, rank: cosine similarity of question_vector and vector.
 
     Every question meets every vector: questions are a stated, checked set that
-    is broadcast, so vectors are streamed past them and never shuffled; beyond
-    BROADCAST_ROWS questions are dealt out in blocks against the whole corpus.
+    is broadcast, so vectors are streamed past them and never shuffled. More
+    than BROADCAST_ROWS questions are dealt out in blocks of about so many; the
+    corpus is read once for each block.
     """
     score = F.round(cosine(F.col("vector"), F.col("question_vector")), digits).alias("dense_score")
     asked = questions.select("qid", "question_vector")
-    scored = corpus.select("chunk_id", "vector").join(F.broadcast(asked) if len(asked.limit(BROADCAST_ROWS + 1).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS else asked).select("qid", "chunk_id", score)
-    return top(scored, k, F.col("dense_score"), "qid")
+    n = asked.count()
+    blocks = max(1, -(-2 * n // BROADCAST_ROWS)) if n > BROADCAST_ROWS else 1
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    parts = [corpus.select("chunk_id", "vector").join(F.broadcast(asked.where(block == i) if blocks > 1 else asked)).select("qid", "chunk_id", score) for i in range(blocks)]
+    return top(reduce(DataFrame.unionByName, parts), k, F.col("dense_score"), "qid")
 
 
 def merged(*routes: DataFrame) -> DataFrame:
     """One row for each qid and chunk of the routes (qid, chunk_id, route, score), with each route's best score.
 
     retrieval_score is the largest of them; source_channels are the routes in
-    the order dense, bm25, table.
+    the order dense, bm25, table. matched_queries are the queries that found it,
+    if the routes name them (matched_query).
     """
     rows = routes[0]
     for r in routes[1:]:
         rows = rows.unionByName(r)
     best = lambda name: F.coalesce(F.max(F.when(F.col("route") == name, F.col("score"))), F.lit(0.0))
-    out = rows.groupBy("qid", "chunk_id").agg(best("dense").alias("dense_score"), best("bm25").alias("bm25_score"), best("table").alias("table_route_score"), F.collect_set("route").alias("found"))
+    queries = [F.array_sort(F.collect_set("matched_query")).alias("matched_queries")] if "matched_query" in rows.columns else []
+    out = rows.groupBy("qid", "chunk_id").agg(best("dense").alias("dense_score"), best("bm25").alias("bm25_score"), best("table").alias("table_route_score"), F.collect_set("route").alias("found"), *queries)
     channels = F.filter(F.array(*[F.lit(x) for x in ("dense", "bm25", "table")]), lambda x: F.array_contains("found", x))
-    return out.select("qid", "chunk_id", "dense_score", "bm25_score", "table_route_score", F.greatest("dense_score", "bm25_score", "table_route_score").alias("retrieval_score"), channels.alias("source_channels"))
+    return out.select("qid", "chunk_id", "dense_score", "bm25_score", "table_route_score", F.greatest("dense_score", "bm25_score", "table_route_score").alias("retrieval_score"), channels.alias("source_channels"), *(["matched_queries"] if queries else []))
 
 
 def fused(candidates: DataFrame, weights: tuple[float, float, float, float], field_hit: Column, table_bonus: Column) -> DataFrame:
@@ -118,3 +133,40 @@ def fused(candidates: DataFrame, weights: tuple[float, float, float, float], fie
     parts = [F.col("dense_score"), F.col("bm25_score"), field_hit, table_bonus]
     total = sum((w * clip01(p) for w, p in zip(weights[1:], parts[1:], strict=True)), weights[0] * clip01(parts[0]))
     return candidates.withColumn("final_score", F.round(total, 7))
+
+
+#: Weights of dense, sparse, field hit and table bonus (fixed values), for table questions and others.
+INTENT_WEIGHTS = {"table_qa": (0.40, 0.35, 0.15, 0.10), "": (0.55, 0.25, 0.15, 0.05)}
+
+
+def fused_by_intent(candidates: DataFrame, field_hit: Column, table_bonus: Column) -> DataFrame:
+    """fused() with the weights of each row's query_type."""
+    both = [fused(candidates, w, field_hit, table_bonus) for w in INTENT_WEIGHTS.values()]
+    table = F.col("query_type") == "table_qa"
+    return both[0].where(table).unionByName(both[1].where(~table | F.col("query_type").isNull()))
+
+
+def with_adaptive_quota(ranked: DataFrame, k: int, quota: int = 2, least: float = 0.25, share: float = 0.45) -> DataFrame:
+    """place of the k rows of each question (final_score, query_type, chunk_type, chunk_id).
+
+    Table questions first take up to `quota` tables that reach the floor, the
+    larger of `least` and `share` of the best score; the places left are filled
+    by score, whatever the kind.
+    """
+    floor = F.greatest(F.lit(least), share * F.max("final_score").over(Window.partitionBy("qid")))
+    rows = ranked.withColumn("__floor", floor).withColumn("__fit", (F.col("query_type") == "table_qa") & (F.col("chunk_type") == "table") & (F.col("final_score") >= F.col("__floor")))
+    by = [F.col("final_score").desc(), F.col("chunk_id")]
+    nth = F.row_number().over(Window.partitionBy("qid", "__fit").orderBy(*by))
+    rows = rows.withColumn("__first", F.col("__fit") & (nth <= min(quota, k)))
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("__first").desc(), *by))
+    return rows.withColumn("place", place).where(F.col("place") <= k).drop("__floor", "__fit", "__first")
+
+
+def newest(corpus: DataFrame, order: str, n: int, collection: str | None = None, chunk_type: str | None = None) -> DataFrame:
+    """The n newest chunks, of a collection and type if they are given; chunks without a type are text."""
+    rows = corpus
+    if collection is not None:
+        rows = rows.where(F.col("collection_name") == collection)
+    if chunk_type is not None:
+        rows = rows.where(F.coalesce("chunk_type", F.lit("text")) == chunk_type)
+    return rows.orderBy(F.col(order).desc()).limit(n)

@@ -9,7 +9,7 @@ from ..functions.text import clean, first_non_empty, short_id
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], version: Column) -> DataFrame:
-    """One row of each key: the newest by version; incoming rows win ties."""
+    """One row of each key: an incoming row replaces a stored one; of several incoming (or stored) ones the newest by version counts."""
     rows = stored.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1)))
     w = Window.partitionBy(*keys).orderBy(F.col("__new").desc(), version.desc())
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__new")

@@ -150,10 +150,11 @@ def budget_chunks(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    stored = d.where("doc_id % 2 = 0").select("doc_id", "source", F.col("n_chars").alias("version"), F.lit("old").alias("state"))
-    incoming = d.where("doc_id % 3 = 0").select("doc_id", "source", F.col("n_chars").alias("version"), F.lit("new").alias("state"))
-    return stored, incoming
+    """All documents as stored rows, and twice as incoming ones, of which the later version must win; every fifth source is all new."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    stored = d.select("doc_id", "source", F.col("n_chars").alias("version"), F.lit("old").alias("state"))
+    incoming = d.select("doc_id", "source", F.explode(F.array(F.struct(F.lit(1).cast("long").alias("version"), F.lit("first").alias("state")), F.struct((F.col("doc_id") % 3).alias("version"), F.lit("second").alias("state")))).alias("v")).select("doc_id", "source", "v.*")
+    return stored, incoming.where("version <> 1 or state = 'first'")
 
 
 def upsert_latest(spark, sf_dir):
@@ -161,17 +162,19 @@ def upsert_latest(spark, sf_dir):
     return store.upserted(stored, incoming, ["doc_id"], F.col("version"))
 
 
-UPSERT = """SELECT doc_id, source, n_chars AS version, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0"""
+UPSERT = """SELECT doc_id, source, CAST(greatest(1, doc_id % 3) AS BIGINT) AS version, CASE WHEN doc_id % 3 = 2 THEN 'second' ELSE 'first' END AS state FROM documents"""
 
 
 def replace_collection(spark, sf_dir):
-    stored, incoming = _versions(spark, sf_dir)
-    out = store.replaced(stored, incoming.where(F.col("source").isin("src1", "src2")), "source")
-    return out.groupBy("source", "state").agg(F.count("*").alias("n"))
+    stored, _ = _versions(spark, sf_dir)
+    # long documents come anew: their sources are replaced as a whole
+    incoming = stored.where("version > 15000").withColumn("state", F.lit("new"))
+    return store.replaced(stored, incoming, "source").groupBy("source", "state").agg(F.count("*").alias("n"))
 
 
-REPLACE = """SELECT source, 'old' AS state, count(*) AS n FROM documents WHERE doc_id % 2 = 0 AND source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id % 3 = 0 AND source IN ('src1', 'src2')) GROUP BY 1
-UNION ALL SELECT source, 'new', count(*) FROM documents WHERE doc_id % 3 = 0 AND source IN ('src1', 'src2') GROUP BY 1"""
+REPLACE = """WITH s AS (SELECT DISTINCT source FROM documents WHERE n_chars > 15000)
+SELECT source, 'old' AS state, count(*) AS n FROM documents WHERE source NOT IN (SELECT source FROM s) GROUP BY 1
+UNION ALL SELECT source, 'new', count(*) FROM documents WHERE n_chars > 15000 GROUP BY 1"""
 
 
 def delete_source(spark, sf_dir):
