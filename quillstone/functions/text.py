@@ -202,3 +202,74 @@ def heading_level(c: Column) -> Column:
 
 def heading_path(*titles: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws(" > ", *[clean(t) for t in titles]), F.lit("")), F.lit("front_matter"))
+
+
+#: Words by which a question asks for a table (fixed values).
+TABLE_HINTS = ("table", "\u6307\u6807", "\u5355\u4f4d", "\u540c\u6bd4", "\u73af\u6bd4", "\u8868", "\u6570\u636e", "metric", "ratio", "revenue")
+#: The hints of searches over routes; other types take the last (fixed values).
+ROUTE_HINTS = {**SCENARIO_HINTS, "": "\u6838\u5fc3\u5173\u952e\u8bcd \u76f8\u5173\u7ae0\u8282"}
+
+
+def asks_for_table(question: Column) -> Column:
+    """A hint word, or four tokens or more with a digit among the characters."""
+    low = F.lower(F.coalesce(question, F.lit("")))
+    return contains_any(low, TABLE_HINTS) | ((F.size(coarse_tokens(low)) >= 4) & low.rlike("[0-9]"))
+
+
+def route_hint(query_type: Column) -> Column:
+    hints = F.create_map(*[F.lit(x) for pair in ROUTE_HINTS.items() for x in pair])
+    return F.coalesce(hints[F.coalesce(query_type, F.lit(""))], F.lit(ROUTE_HINTS[""]))
+
+
+def default_variants(question: Column, most: int) -> Column:
+    """What a question is also searched by: its tokens, its CJK tokens as one, its first six ASCII tokens; distinct, and other than the question."""
+    text = strip(F.coalesce(question, F.lit("")))
+    tokens = coarse_tokens(text)
+    ascii_ = F.filter(tokens, lambda t: t < "\u4e00")
+    cjk = F.array_join(F.filter(tokens, lambda t: t >= "\u4e00"), "")
+    found = F.array(F.array_join(tokens, " "), cjk, F.when(F.size(ascii_) >= 2, F.array_join(F.slice(ascii_, 1, 6), " ")).otherwise(""))
+    return F.slice(F.array_distinct(F.filter(found, lambda x: (x != "") & (x != text))), 1, max(0, most)) if most > 0 else F.array().cast("array<string>")
+
+
+def normalize_content(content: Column) -> Column:
+    """The text of a message that is JSON: a string, an object's text, output_text or value (if a string), else its content, else the JSON; a list's texts a line each. Other texts as they are.
+
+    Objects and lists are looked into two levels deep.
+    """
+
+    def inner(c: Column, deeper: int) -> Column:
+        v = F.try_parse_json(c)
+        schema = F.schema_of_variant(v)
+        string = lambda path: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+        below = (lambda x: inner(x, deeper - 1)) if deeper else (lambda x: normalize_whitespace(x))
+        items = F.from_json(c, "array<string>")
+        listed = normalize_whitespace(F.array_join(F.filter(F.transform(items, below), lambda x: x != ""), "\n"))
+        held = F.get_json_object(c, "$.content")
+        of_object = F.coalesce(*[F.when(string(f"$.{k}").isNotNull(), normalize_whitespace(string(f"$.{k}"))) for k in ("text", "output_text", "value")], F.when(held.isNotNull(), below(held)), F.to_json(v))
+        return F.when(F.ltrim(c).startswith("{") & schema.startswith("OBJECT"), of_object).when(F.ltrim(c).startswith("[") & schema.startswith("ARRAY"), listed).otherwise(normalize_whitespace(c))
+
+    return F.coalesce(inner(F.coalesce(content, F.lit("")), 1), F.lit(""))
+
+
+def json_queries(answer: Column, most: int = 4) -> Column:
+    """Queries that a model's answer lists: a JSON array, an object's queries, expanded_queries or items, in a fence or among other text; else its bullet lines. Distinct, at most `most`."""
+    text = F.coalesce(answer, F.lit(""))
+    fenced = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1)
+    body = F.when(fenced != "", fenced).otherwise(text)
+    object_ = F.regexp_extract(body, "(?s)\\{.*\\}", 0)
+    array = F.regexp_extract(body, "(?s)\\[.*\\]", 0)
+    of = lambda c: F.from_json(c, "array<string>")
+    named = F.coalesce(*[of(F.get_json_object(object_, f"$.{k}")) for k in ("queries", "expanded_queries", "items")])
+    bullets = F.transform(F.regexp_extract_all(text, F.lit("(?m)^\\s*(?:[-*\u2022]|[0-9]+[.)\u3001])\\s*(\\S.*)$"), F.lit(1)), strip)
+    found = F.coalesce(named, of(array), bullets)
+    return F.slice(F.array_distinct(F.filter(F.transform(found, lambda x: strip(F.coalesce(x, F.lit("")))), lambda x: x != "")), 1, most)
+
+
+def canonical_hash(value: Column, length: int = 64) -> Column:
+    """SHA-256 (its first digits) of a struct or map as JSON with sorted keys: the same whatever the order of the columns."""
+    return F.substring(F.sha2(F.to_json(F.try_parse_json(F.to_json(value))), 256), 1, length)
+
+
+def truncated(c: Column, tokens: int) -> Column:
+    """The beginning that is at most so many tokens of four characters."""
+    return F.substring(F.coalesce(c, F.lit("")), 1, max(0, tokens) * 4)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,20 +87,164 @@ def markdown(rows: Column) -> Column:
     return F.when(F.size(clean) > 0, F.array_join(lines, "\n")).otherwise("")
 
 
+#: What stands for a row that can't be made to fit.
+OVERSIZE = "[row too long]"
+
+
 def split_table(rows: Column, budget: int = 7000) -> Column:
     """array<array<array<string>>>: parts of a table within the token budget, each with the header row.
 
-    A fold over the body's rows: a row that would go over the budget starts a new part.
+    A fold over the body's rows: a row that would go over the budget starts a
+    new part. The cost is that of the Markdown of a part. A row that is over
+    the budget with the header alone has its longest cell cut to four fifths of
+    what the budget leaves; if that isn't enough, a mark stands for it.
     """
-    cost = lambda part: F.aggregate(part, F.lit(0), lambda s, r: s + token_count(F.array_join(r, " | ")))
+    line = lambda r: token_count(F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |")))
     head = F.slice(rows, 1, 1)
     body = F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0)))
-    empty = F.array(head)
+    # the header and the rule below it
+    base = F.coalesce(line(F.get(head, F.lit(0))) + line(F.transform(F.get(head, F.lit(0)), lambda _: F.lit("---"))), F.lit(0))
+
+    def fitting(row: Column) -> Column:
+        longest = F.array_max(F.transform(row, F.length))
+        room = F.floor(4 * (budget - base) * 0.8 - (F.length(F.array_join(row, " | ")) - longest)).cast("int")
+        cut = F.transform(row, lambda c: F.when(F.length(c) == longest, F.substring(c, F.lit(1), F.greatest(room, F.lit(0)))).otherwise(c))
+        marked = F.transform(row, lambda c, i: F.when(i == 0, F.lit(OVERSIZE)).otherwise(F.lit("")))
+        return F.when(base + line(row) <= budget, row).when((room > 0) & (base + line(cut) <= budget), cut).otherwise(marked)
+
+    none = F.struct(F.array(head).alias("parts"), base.cast("int").alias("cost"))
+
+    def step(acc: Column, row: Column) -> Column:
+        parts, last = acc["parts"], F.element_at(acc["parts"], -1)
+        own = line(row)
+        grown = F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(F.concat(last, F.array(row))))
+        fresh = F.concat(parts, F.array(F.concat(head, F.array(row))))
+        fits = (acc["cost"] + own <= budget) | (F.size(last) == 1)
+        return F.struct(F.when(fits, grown).otherwise(fresh).alias("parts"), F.when(fits, acc["cost"] + own).otherwise(base + own).cast("int").alias("cost"))
+
+    return F.when(F.size(rows) > 0, F.aggregate(F.transform(body, fitting), none, step, lambda acc: acc["parts"]))
+
+
+#: Where a text is parted, the first that it holds; the last is between any two characters (fixed values).
+SEPARATORS = ("\n\n", "\n", "。", "；", "！", "？", "，", "、", ".", ";", "!", "?", ",", " ", "")
+
+
+def _tokens(text: str) -> int:
+    return max(1, -(-len(text) // 4))
+
+
+def _merged(parts: list[str], size: int, overlap: int) -> list[str]:
+    """Runs of parts of at most `size` tokens; a run begins with the last parts of the one before it, up to `overlap` tokens."""
+    out: list[str] = []
+    run: list[str] = []
+    length = 0
+    for part in parts:
+        if run and -(-(length + len(part)) // 4) > size:
+            out.append("".join(run))
+            while run and (length > 4 * overlap or -(-(length + len(part)) // 4) > size):
+                length -= len(run.pop(0))
+        run.append(part)
+        length += len(part)
+    return out + ["".join(run)] if run else out
+
 
-    def step(parts: Column, row: Column) -> Column:
-        last = F.element_at(parts, -1)
-        grown = F.concat(last, F.array(row))
-        fits = (cost(grown) <= budget) | (F.size(last) == 1)
-        return F.when(fits, F.concat(F.slice(parts, 1, F.size(parts) - 1), F.array(grown))).otherwise(F.concat(parts, F.array(F.concat(head, F.array(row)))))
+def split_recursively(text: str, size: int = 1024, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    """Parts of at most `size` tokens, cut at the coarsest separator that serves; it stays at the beginning of what follows it."""
+    at = next(i for i, s in enumerate(separators) if not s or s in text)
+    sep = separators[at]
+    parts = [x for x in re.split(f"(?={re.escape(sep)})", text) if x] if sep else list(text)
+    out: list[str] = []
+    run: list[str] = []
+    for part in parts:
+        if _tokens(part) <= size or at + 1 == len(separators):
+            run.append(part)
+        else:
+            out += _merged(run, size, overlap) + split_recursively(part, size, overlap, separators[at + 1 :])
+            run = []
+    return [x for x in out + _merged(run, size, overlap) if x.strip()]
 
-    return F.when(F.size(rows) > 0, F.aggregate(body, empty, step))
+
+def recursive_parts(text: Column, size: int = 1024, overlap: int = 200) -> Column:
+    """array<string>: the parts of a text with its white space in order, by split_recursively()."""
+
+    @F.pandas_udf("array<string>")
+    def parts(texts: pd.Series) -> pd.Series:
+        return pd.Series([split_recursively(t, size, overlap) if t else [] for t in texts], dtype="object")
+
+    split = parts(normalize_whitespace(text))
+    return F.filter(F.transform(split, lambda x: normalize_whitespace(x)), lambda x: x != "")
+
+
+def page_range(pages: Column) -> Column:
+    """First and last of the pages that are known (0 or more); -1 and -1 without any."""
+    known = F.filter(pages, lambda p: p >= 0)
+    return F.struct(F.coalesce(F.array_min(known), F.lit(-1)).alias("first"), F.coalesce(F.array_max(known), F.lit(-1)).alias("last"))
+
+
+def _locate(part: Column, text: Column, start: Column) -> Column:
+    """The place (from 1) of a part in a text at or after start; 0 if it isn't there."""
+    return F.call_function("locate", part, text, start)
+
+
+def with_pages(parts: Column, sources: Column) -> Column:
+    """array<struct<content, pages>>: the pages of the sources (text, page_idx) that each part overlaps, in the sources joined by spaces.
+
+    A part is looked for behind the beginning of the one before it, then from
+    the start; one that isn't there has the pages of all sources.
+    """
+    flat = F.transform(sources, lambda s: F.struct(normalize_whitespace(s["text"], False).alias("text"), s["page_idx"].alias("page_idx")))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,page:int>>").alias("spans"))
+    spans = F.aggregate(flat, none, lambda acc, s: F.struct((acc["at"] + F.length(s["text"]) + 1).alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(s["text"])).alias("stop"), s["page_idx"].cast("int").alias("page")))).alias("spans")), lambda acc: acc["spans"])
+    text = F.array_join(F.transform(flat, lambda s: s["text"]), " ")
+
+    def placed(acc: Column, part: Column) -> Column:
+        found = F.coalesce(F.nullif(_locate(part, text, acc["next"]), F.lit(0)), _locate(part, text, F.lit(1)))
+        inside = F.filter(spans, lambda s: (found == 0) | ((s["stop"] > found - 1) & (s["start"] < found - 1 + F.length(part))))
+        pages = page_range(F.transform(inside, lambda s: s["page"]))
+        return F.struct(F.when(found > 0, found + 1).otherwise(acc["next"]).cast("int").alias("next"), F.concat(acc["out"], F.array(pages)).alias("out"))
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
+    pages = F.aggregate(F.transform(parts, lambda p: normalize_whitespace(p, False)), start, placed, lambda acc: acc["out"])
+    return F.arrays_zip(parts.alias("content"), pages.alias("pages"))
+
+
+def structured_chunks(blocks: DataFrame, size: int = 1024, overlap: int = 200, table_budget: int = 7000) -> DataFrame:
+    """Chunks of parsed documents from blocks (doc, place, type, text, page_idx, rows, table_id).
+
+    chunk_id ({doc}_chunk_{n}), chunk_index, chunk_type, content, page_idx,
+    page_range (a-b), the titles in force, table_id, sub_table_id,
+    table_header_text and table_context_text. A title of a level begins a new
+    text, a table ends one; texts are split recursively, tables by their budget
+    with the header in each part.
+    """
+    heads = ["level1_title", "level2_title", "level3_title", "heading_path"]
+    rows = with_headings(blocks)
+    w = Window.partitionBy("doc").orderBy("place")
+    ends = (F.col("type") == "table") | ((F.col("type") == "title") & (F.col("level") > 0))
+    rows = rows.withColumn("run", F.sum(ends.cast("int")).over(w))
+    texts = rows.where((F.col("type") != "table") & (normalize_whitespace(F.col("text"), False) != ""))
+    runs = texts.groupBy("doc", "run").agg(F.min("place").alias("place"), F.array_sort(F.collect_list(F.struct("place", "text", "page_idx"))).alias("sources"), *[F.max_by(h, "place").alias(h) for h in heads])
+    merged = F.array_join(F.transform("sources", lambda s: normalize_whitespace(s["text"], False)), "\n\n")
+    parts = runs.withColumn("parts", recursive_parts(merged, size, overlap))
+    parts = parts.select("doc", "place", *heads, F.posexplode(with_pages(F.col("parts"), F.col("sources"))).alias("part", "x"))
+    text = parts.select("doc", "place", "part", *heads, F.lit("text").alias("chunk_type"), "x.content", F.col("x.pages.first").alias("page_idx"), F.concat_ws("-", "x.pages.first", "x.pages.last").alias("page_range"), *[F.lit("").alias(n) for n in ("table_id", "sub_table_id", "table_header_text")])
+    tables = rows.where((F.col("type") == "table") & (F.size("rows") > 0)).select("doc", "place", *heads, "page_idx", "table_id", F.posexplode(split_table(F.col("rows"), table_budget)).alias("part", "rows"))
+    table = tables.select("doc", "place", "part", *heads, F.lit("table").alias("chunk_type"), markdown(F.col("rows")).alias("content"), F.col("page_idx").cast("int").alias("page_idx"), F.concat_ws("-", "page_idx", "page_idx").alias("page_range"), "table_id", F.concat_ws("_", "table_id", F.col("part") + 1).alias("sub_table_id"), F.array_join(F.get("rows", F.lit(0)), " | ").alias("table_header_text")).where("content <> ''")
+    out = text.unionByName(table)
+    order = Window.partitionBy("doc").orderBy("place", "part")
+    before = F.last(F.when(F.col("chunk_type") == "text", F.col("content")), ignorenulls=True).over(order)
+    context = F.when(F.col("chunk_type") == "table", F.substring(normalize_whitespace(F.coalesce(before, F.lit("")), False), 1, 800)).otherwise("")
+    out = out.withColumn("table_context_text", context).withColumn("chunk_index", F.row_number().over(order) - 1)
+    return out.withColumn("chunk_id", F.concat_ws("_chunk_", F.col("doc").cast("string"), "chunk_index")).drop("place", "part")
+
+
+def embedded(chunks: DataFrame, embedder, text: str = "content", dim: int = 1024) -> DataFrame:
+    """Chunks with embedding (array<double> of unit length): of an embedder (texts -> vectors, a batch at a time, in order), fitted to dim places."""
+    from ..functions.vectors import fitted
+
+    @F.pandas_udf("array<double>")
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[float(x) for x in v] for v in embedder(texts.fillna("").tolist())], dtype="object")
+
+    return chunks.withColumn("embedding", vectors(text)).withColumn("embedding", fitted(F.col("embedding"), dim))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip01, coarse_tokens, overlap_score
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, hash_embedding
 
 #: Rows up to which the distinct terms of the questions, or the question vectors, are broadcast.
 BROADCAST_ROWS = 100_000
@@ -170,3 +170,16 @@ def newest(corpus: DataFrame, order: str, n: int, collection: str | None = None,
     if chunk_type is not None:
         rows = rows.where(F.coalesce("chunk_type", F.lit("text")) == chunk_type)
     return rows.orderBy(F.col(order).desc()).limit(n)
+
+
+def hash_dense(corpus: DataFrame, questions: DataFrame, k: int = 10, dim: int = 1024) -> DataFrame:
+    """qid, chunk_id, dense_score, rank where no vectors are given: cosine similarity of the texts' hash vectors.
+
+    Only places where both are not zero meet; the questions' places are a
+    checked set that is broadcast.
+    """
+    docs = hash_embedding(corpus, "chunk_id", coarse_tokens(F.col("content")), dim)
+    asked = hash_embedding(questions, "qid", coarse_tokens(F.col("question")), dim).withColumnRenamed("weight", "asked")
+    both = docs.join(small(asked, 10 * BROADCAST_ROWS), "bucket").groupBy("qid", "chunk_id").agg(F.sum(F.col("weight") * F.col("asked")).alias("dot"))
+    scored = both.select("qid", "chunk_id", F.round(clip01(F.col("dot")), 6).alias("dense_score")).where("dense_score > 0")
+    return top(scored, k, F.col("dense_score"), "qid")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import clean, short_id
+
 
 def latest(messages: DataFrame, role: str) -> DataFrame:
     """The last message of a role in each session."""
@@ -57,3 +59,67 @@ def deleted(tables: dict[str, DataFrame], session_ids: DataFrame) -> tuple[dict[
         n = t.join(session_ids, "session_id", "left_semi").agg(F.count("*").alias("n_deleted")).select(F.lit(k).alias("table_name"), "n_deleted")
         gone = n if gone is None else gone.unionByName(n)
     return kept, gone
+
+
+def saved_turn(tables: dict[str, DataFrame], turn: DataFrame) -> dict[str, DataFrame]:
+    """The tables messages, traces, evaluations and sessions after a turn.
+
+    turn: session_id, collection_name, place, question, answer, decision,
+    query_type, confidence, trace, metrics, created_at; a row for each session
+    that gained one. A turn is two messages, a trace and an evaluation, with
+    ids made from session and place, so that a turn saved twice is there once;
+    its session is inserted or touched.
+    """
+    from .store import touched
+
+    made = lambda kind: short_id(f"{kind}_", F.col("session_id"), F.col("place"))
+    common = ["session_id", "created_at"]
+    user = turn.select(made("user").alias("message_id"), *common, (2 * F.col("place")).alias("place"), F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("decision"), F.lit(None).cast("double").alias("confidence"))
+    answer = turn.select(made("assistant").alias("message_id"), *common, (2 * F.col("place") + 1).alias("place"), F.lit("assistant").alias("role"), F.col("answer").alias("content"), "decision", "confidence")
+    trace = turn.select(made("trace").alias("trace_id"), made("assistant").alias("message_id"), *common, "question", "trace")
+    grade = turn.select(made("evaluation").alias("evaluation_id"), made("assistant").alias("message_id"), *common, "metrics")
+
+    def added(stored: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+        return stored.join(rows.select(key), key, "left_anti").select(*rows.columns).unionByName(rows)
+
+    return {
+        "messages": added(tables["messages"], user.unionByName(answer), "message_id"),
+        "traces": added(tables["traces"], trace, "trace_id"),
+        "evaluations": added(tables["evaluations"], grade, "evaluation_id"),
+        "sessions": touched(tables["sessions"], turn.select("session_id", "collection_name", F.col("created_at").alias("updated_at"))),
+    }
+
+
+def listed(rows: DataFrame, where: dict[str, object], *order: Column, limit: int | None = None) -> DataFrame:
+    """Stored rows with the given values (None: any), in order, at most limit of them: chunks of a collection or a document, documents by their last change, messages and traces of a session."""
+    for name, value in where.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == F.lit(value))
+    rows = rows.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
+
+
+def last_focus(turns: DataFrame) -> DataFrame:
+    """By session: the focus that the last completed turn (session_id, turn, status, effective_question, question, query_type, slots) leaves; blank parts are null."""
+    done = turns.where("status = 'completed'").groupBy("session_id").agg(F.max_by(F.struct(F.coalesce(clean(F.col("effective_question")), F.col("question")).alias("active_topic"), *[clean(F.col(f"slots.{n}")).alias(n) for n in ("company", "period", "metric", "scope")], F.col("query_type").alias("last_query_type"), F.col("turn").alias("updated_at_turn")), "turn").alias("focus"))
+    return done.select("session_id", "focus.*")
+
+
+def last_evidence(messages: DataFrame) -> DataFrame:
+    """By session: evidence and citations of the last answer (session_id, place, role, evidence, citations), empty ones included."""
+    return messages.where(F.lower(F.trim("role")) == "assistant").groupBy("session_id").agg(F.max_by(F.struct("evidence", "citations"), "place").alias("x")).select("session_id", "x.*")
+
+
+def routed(asked: DataFrame, focus: DataFrame, pending: DataFrame, threshold: float = 0.55) -> DataFrame:
+    """session_id, turn_type, effective_question of the next question (session_id, question, confidence, proposed).
+
+    proposed is what a model or rule takes the turn for. A session with a
+    pending clarification (session_id, original_question) is answered by it; a
+    follow-up needs a focus and the threshold; every other turn is new.
+    """
+    q = asked.join(focus.select("session_id", "active_topic"), "session_id", "left").join(pending.select("session_id", "original_question"), "session_id", "left")
+    follows = F.col("proposed").isin("follow_up", "citation_follow_up") & (F.col("confidence") >= threshold) & F.col("active_topic").isNotNull()
+    kind = F.when(F.col("original_question").isNotNull() & (F.col("proposed") != "new_question"), "clarification_answer").when(follows, F.col("proposed")).otherwise("new_question")
+    q = q.withColumn("turn_type", kind)
+    asks = F.when(F.col("turn_type") == "clarification_answer", F.concat_ws(" ", "original_question", "question")).when(F.col("turn_type") != "new_question", F.concat_ws(" ", "active_topic", "question")).otherwise(F.col("question"))
+    return q.select("session_id", "turn_type", asks.alias("effective_question"))

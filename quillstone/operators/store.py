@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean, first_non_empty, short_id
+from .candidates import search_text
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str], version: Column) -> DataFrame:
@@ -50,8 +51,7 @@ def prepared(chunks: DataFrame) -> DataFrame:
     content = first_non_empty(F.col("raw_doc"), F.col("content"))
     out = chunks.withColumn("content", content)
     made = short_id("chunk_", F.col("collection_name"), F.col("doc_id"), F.col("chunk_index"), F.col("content"))
-    search = F.array_join(F.filter(F.array("heading_path", "content"), lambda x: clean(x).isNotNull()), " ")
-    return out.withColumn("chunk_id", F.coalesce(clean(F.col("chunk_id")), made)).withColumn("search_text", search)
+    return out.withColumn("chunk_id", F.coalesce(clean(F.col("chunk_id")), made)).withColumn("search_text", search_text(out))
 
 
 def touched(sessions: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -65,3 +65,9 @@ def merged_metadata(old: Column, new: Column) -> Column:
     """Shallow merge of maps; new values win."""
     keys = F.array_union(F.map_keys(old), F.map_keys(new))
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.when(F.map_contains_key(new, k), new[k]).otherwise(old[k])))
+
+
+def latest_documents(documents: DataFrame) -> DataFrame:
+    """Of each collection and source the document that was indexed last (of equal times the largest id)."""
+    w = Window.partitionBy("collection_name", "doc_source").orderBy(F.col("indexed_at").desc(), F.col("doc_id").desc())
+    return documents.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
