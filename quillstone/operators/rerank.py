@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip01, coarse_tokens, exact_key, near_duplicate_score, token_overlap
+from .candidates import pair_text, recall_score
 
 
 def min_max(score: str, *keys: str) -> Column:
@@ -44,10 +45,13 @@ def deduplicated(candidates: DataFrame, score: str = "retrieval_score", text: st
 
     A candidate goes if its text without marks was seen, or if its tokens are
     near those of one kept before it. The pass is a fold over one question's
-    `pool` best rows (a retrieval pool, so the group is bounded).
+    `pool` best rows (a retrieval pool, so the group is bounded); rows behind
+    them are kept as they are, for the caller to cut.
     """
     w = Window.partitionBy("qid").orderBy(F.col(score).desc(), "chunk_id")
-    rows = candidates.select("qid", "chunk_id", F.row_number().over(w).alias("place"), exact_key(F.col(text)).alias("key"), F.array_distinct(coarse_tokens(F.col(text))).alias("tokens")).where(F.col("place") <= pool)
+    rows = candidates.select("qid", "chunk_id", F.row_number().over(w).alias("place"), exact_key(F.col(text)).alias("key"), F.array_distinct(coarse_tokens(F.col(text))).alias("tokens"))
+    behind = rows.where(F.col("place") > pool).select("qid", "chunk_id", "place")
+    rows = rows.where(F.col("place") <= pool)
     item = F.struct("place", "chunk_id", "key", "tokens")
     gathered = rows.groupBy("qid").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
@@ -56,7 +60,7 @@ def deduplicated(candidates: DataFrame, score: str = "retrieval_score", text: st
         return F.when(seen, kept).otherwise(F.concat(kept, F.array(x)))
 
     kept = F.aggregate(F.slice("items", 2, F.greatest(F.size("items") - 1, F.lit(0))), F.slice("items", 1, 1), step)
-    return gathered.select("qid", F.explode(kept).alias("x")).select("qid", "x.chunk_id", "x.place")
+    return gathered.select("qid", F.explode(kept).alias("x")).select("qid", "x.chunk_id", "x.place").unionByName(behind)
 
 
 def neighbours(seeds: DataFrame, ranked: DataFrame, score: str = "retrieval_score") -> DataFrame:
@@ -88,14 +92,24 @@ def with_table_quota(candidates: DataFrame, k: int, quota: int, score: str = "ra
 
 
 def model_scores(candidates: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], k: int) -> DataFrame:
-    """Rows with score columns by a pair model, brought to [0, 1] within the question; without a model use the recall score."""
+    """Rows with score columns by a pair model over (question, pair text), brought to [0, 1] within the question.
+
+    A batch for which the model fails, or gives another number of scores than
+    it has rows, has none; a question with such a row ranks by its recall score.
+    """
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for question, text in batches:
-            yield pd.Series(scorer(question.tolist(), text.tolist()), dtype="float64")
-
-    rows = candidates.withColumn("model_score", scored("question", "content"))
-    rows = rows.withColumn("final_score", relative("model_score", "qid"))
+            try:
+                found = list(scorer(question.tolist(), text.tolist()))
+            except Exception:  # whatever a model raises, its rows are ranked without it
+                found = []
+            yield pd.Series(found if len(found) == len(question) else [None] * len(question), dtype="float64")
+
+    rows = candidates.withColumn("__pair", pair_text(candidates)).withColumn("model_score", scored("question", "__pair")).drop("__pair")
+    rows = rows.withColumn("__whole", F.count("model_score").over(Window.partitionBy("qid")) == F.count(F.lit(1)).over(Window.partitionBy("qid")))
+    rows = rows.withColumn("final_score", F.when(F.col("__whole"), relative("model_score", "qid")).otherwise(recall_score(candidates)))
+    rows = rows.withColumn("score_source", F.when(F.col("__whole"), "model_score").otherwise("hybrid_recall_score")).drop("__whole")
     w = Window.partitionBy("qid").orderBy(F.col("final_score").desc(), "chunk_id")
     return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

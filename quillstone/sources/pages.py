@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,11 +16,25 @@ _LINES = f"array<struct<spans:array<{_SPAN}>>>"
 PAYLOAD = f"struct<source:string,pdf_path:string,pdf_info:array<struct<page_idx:int,page_size:array<double>,para_blocks:array<struct<index:int,type:string,bbox:array<double>,lines:{_LINES},table_rows:array<array<string>>,blocks:array<struct<lines:{_LINES}>>>>>>>"
 
 
+#: Character references by name: those of HTML's first two sets of symbols and Latin letters, by the standard library's table.
+_NAMED = {name: chr(code) for name, code in name2codepoint.items() if name != "amp"}
+
+
 def unescape(c: Column) -> Column:
-    """The common entities of HTML."""
-    for name, char in (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references by name and number, each read once (so &amp;lt; is &lt;)."""
+    parts = F.split(c, "(?=&)")
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+
+    def one(part: Column) -> Column:
+        ref = F.regexp_extract(part, "^&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,10});", 1)
+        code = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 9), 16, 10)).when(ref.startswith("#"), F.substring(ref, 2, 9)).cast("long")
+        # from a code point to its character by way of UTF-32
+        char = F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        found = F.when(ref == "amp", "&").when(ref != "", F.coalesce(char, names[ref]))
+        return F.when(found.isNotNull(), F.concat(found, F.substring(part, F.length(ref) + 3, F.length(part)))).otherwise(part)
+
+    # texts without a reference, which most are, stay as they are
+    return F.when(F.contains(c, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
 def html_blocks(pages: DataFrame, key: str = "page_id") -> DataFrame:
