@@ -41,8 +41,8 @@ from ._arrow import LOWER, lean, per_text, pieces, utf8
 #: Bytes of a window, and of the shortest distance from one to the next. zstd starts no match in a block's last eight
 #: bytes, so this leaves words of up to twelve bytes whole in some window.
 WINDOW, STEP = 32, 12
-#: A level whose matches are searched in chains: the tables of faster levels forget most places of a dictionary.
-LEVEL = 10
+#: A greedy search with tables that are large enough to hold every place of the dictionaries; the usual levels' forget most of them.
+PARAMETERS = {"strategy": zstandard.STRATEGY_GREEDY, "window_log": 18, "hash_log": 19, "chain_log": 18, "search_log": 5, "min_match": 4, "write_content_size": False, "write_dict_id": False, "write_checksum": False}
 #: Bytes of the ordinary dictionary, and of the toxic one while passages are searched.
 ORDINARY_BYTES, SEARCH_BYTES = 112 << 10, 8 << 10
 #: The toxic dictionary is trained in two parts (bytes, bytes of a segment, bytes that must recur): for phrases and long words, and for short ones.
@@ -83,9 +83,10 @@ def lengths(compressor: zstandard.ZstdCompressor, raw: np.ndarray, starts: np.nd
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    parameters = zstandard.ZstdCompressionParameters(**PARAMETERS)
     held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    held.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False, write_checksum=False)
+    held.precompute_compress(compression_params=parameters)
+    return zstandard.ZstdCompressor(compression_params=parameters, dict_data=held)
 
 
 def _dictionary(samples: Sequence[bytes], size: int, segment: int, gram: int) -> bytes:
