@@ -110,7 +110,7 @@ def test_rows_are_removed_by_id_and_text(spark):
 
 def test_names_of_several_words_and_number_words(spark):
     b = spark.createDataFrame([(1, "yesterday morning Anna bought seven apples and Peter sold thirty pears at the old market near the river")], "item_id long, text string")
-    d = spark.createDataFrame([(1, FILL + "yesterday morning Maria Luisa Lopez bought 9 apples and Jan van sold 40 pears at the old market near the river"), (2, FILL)], "doc_id long, text string")
+    d = spark.createDataFrame([(1, FILL + "yesterday morning Maria Luisa Lopez bought 9 apples and Jan Willem sold 40 pears at the old market near the river"), (2, FILL)], "doc_id long, text string")
     assert [tuple(r)[:2] for r in decontaminate.contaminated(d, b).collect()] == [(1, 1)]
 
 
