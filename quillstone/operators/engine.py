@@ -60,7 +60,7 @@ def reranked(merged: DataFrame, asked: DataFrame, config: Config) -> DataFrame:
         pool = candidates.merged_pools(config.pool, strong, best).select("qid", "chunk_id")
         rows = rerank.model_scores(rows.join(pool, ["qid", "chunk_id"]), config.scorer, config.pool).withColumn("rank_score", F.col("final_score"))
     best = rerank.with_table_quota(rows, config.top_k, config.table_quota)
-    return best.withColumn("score", F.col("rank_score")).withColumn("rank", F.col("place"))
+    return best.withColumn("score", F.col("rank_score")).withColumn("rank", F.col("place")).drop("question", "query_type")
 
 
 def found(corpus: DataFrame, asked: DataFrame, config: Config) -> DataFrame:
