@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hilbert, html_text, language_id, line_dedup, near_dedup, packing, quality, toxicity, url_filter
+from . import centroids, decontaminate, divergence, hilbert, html_text, language_id, line_dedup, mixing, near_dedup, packing, quality, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))[0]
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -113,10 +125,70 @@ FROM ruled
 """
 
 
+def op12_sql(k: int = 16, rounds: int = 3) -> str:
+    """The rounds as chained common table expressions, over lists of integers."""
+    step = """
+m{i} AS MATERIALIZED (
+  SELECT vec_id, any_value(v) AS v, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+    SELECT n, vec_id, v, c, list_sum(list_transform(range(1, 65), lambda j: (v[j] - w[j]) * (v[j] - w[j]))) AS d
+    FROM kept, c{i}) GROUP BY n, vec_id)"""
+    means = """,
+s{i} AS (SELECT cluster, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM m{i}, (SELECT unnest(range(1, 65)) AS j) GROUP BY cluster, j),
+c{next} AS MATERIALIZED (
+  SELECT c, coalesce(list(f ORDER BY j) FILTER (WHERE j IS NOT NULL), any_value(w)) AS w
+  FROM c{i} LEFT JOIN (SELECT cluster, j, (s - ((s % n) + n) % n) // n AS f FROM s{i}) ON cluster = c GROUP BY c),"""
+    chained = "".join(step.format(i=i) + (means.format(i=i, next=i + 1) if i < rounds else "") for i in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS w
+  FROM (SELECT v, sha256('1:' || vec_id) AS h FROM kept ORDER BY h LIMIT {k})),{chained}
+SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
+       (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM m{rounds} JOIN c{rounds} ON c = cluster
+"""
+
+
+OP13_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+tokens AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM docs),
+kept AS (SELECT lang, term FROM tokens GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+cells AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM tokens SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(n, 0) AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN sizes USING (lang)
+  LEFT JOIN (SELECT lang, source, sum(n)::HUGEINT AS n FROM cells GROUP BY lang, source) USING (lang, source)),
+full_p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS c, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (g.n + 2 * g.v) AS p
+  FROM groups g JOIN kept k ON k.lang = g.lang LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+lang_p AS (
+  SELECT lang, term, 1 + (1000000000 * (sum(c) + 2)) // (max(total) + 2 * max(v)) AS q
+  FROM full_p JOIN (SELECT lang, sum(n)::HUGEINT AS total, max(v) AS v FROM groups GROUP BY lang) USING (lang) GROUP BY lang, term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM full_p a JOIN full_p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value
+  FROM full_p JOIN lang_p USING (lang, term) WHERE c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_line_dedup, op3_near_dedup, op4_toxicity, op5_quality_rules, op6_decontamination, op7_hilbert_shards, op8_url_filter, op9_html_text, op10_packing)
+    found = (op1_language_id, op2_line_dedup, op3_near_dedup, op4_toxicity, op5_quality_rules, op6_decontamination, op7_hilbert_shards, op8_url_filter, op9_html_text, op10_packing, op11_source_mix, op12_centroids, op13_source_divergence)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op8_url_filter": op8_sql()}
+    return {"op2_line_dedup": OP2_SQL, "op8_url_filter": op8_sql(), "op12_centroids": op12_sql(), "op13_source_divergence": OP13_SQL}
