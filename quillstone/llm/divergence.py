@@ -91,15 +91,19 @@ def _f(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) * (p - q) // (p + q)
 
 
-def accumulated(p0: np.ndarray, first: int, stop: int, source: np.ndarray, p: np.ndarray, new: np.ndarray) -> np.ndarray:
-    """Dense rows of the groups first to stop: for each peer the sum over a part's terms of f(p, q) - f(p0, q0).
+def accumulated(p0: np.ndarray, first: int, stop: int, source: np.ndarray, p: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two dense rows for each of the groups first to stop, with a place for each peer, over a part's terms of the group.
 
+    The second has the sums of f(p, q0) - f(p0, q0), the group's own terms
+    against the peer's baseline; the first has those and, for the terms of
+    both, f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0). So the first row of a
+    group and the second of its peer make the sum of f(p, q) - f(p0, q0).
     p0: the groups' baselines. source, p: the part's cells, term by term; new:
     true at a term's first cell.
     """
     rows = np.zeros((stop - first, len(p0)), np.int64)
     if not len(source):
-        return rows
+        return rows, rows
     # histogram: how many terms have the value p in a group (p < 2^30)
     keys, m = np.unique((source << 30) | p, return_counts=True)
     held, value = keys >> 30, keys & ((1 << 30) - 1)
@@ -108,13 +112,13 @@ def accumulated(p0: np.ndarray, first: int, stop: int, source: np.ndarray, p: np
     term = np.cumsum(new) - 1
     order = np.argsort(source, kind="stable")
     own = np.searchsorted(source[order], np.arange(len(p0) + 1))
-    step = max(1, SCATTERED // len(p0))
+    step, alone = max(1, SCATTERED // len(p0)), np.zeros_like(rows)
     for g in range(first, stop):
         row, base = rows[g - first], _f(p0[g], p0)
         for at in range(bounds[g], bounds[g + 1], step):
             part = slice(at, min(at + step, bounds[g + 1]))
             row += (m[part, None] * (_f(value[part, None], p0[None, :]) - base)).sum(axis=0)
-        np.add.at(row, held, m * (_f(value, p0[g]) - base[held]))
+        alone[g - first] = row
         mine = order[own[g] : own[g + 1]]
         length = (ptr[1:] - ptr[:-1])[term[mine]]
         done = np.cumsum(length)
@@ -126,7 +130,7 @@ def accumulated(p0: np.ndarray, first: int, stop: int, source: np.ndarray, p: np
             peers, q, here = source[into], p[into], np.repeat(p[cells], n)
             np.add.at(row, peers, _f(here, q) - _f(here, p0[peers]) - _f(p0[g], q) + base[peers])
             at = end
-    return rows
+    return rows, alone
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +147,12 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)
         n = whole.column("rows")[0].as_py()
         first, stop = key[1] * n, min((key[1] + 1) * n, int(seed.sum()))
-        dense = accumulated(p[seed], first, stop, source[~seed], p[~seed], new)
+        both = accumulated(p[seed], first, stop, source[~seed], p[~seed], new)
         for at in range(0, stop - first, 64):
-            some = dense[at : at + 64]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * dense.shape[1]), pa.array(some.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(some), pa.string()), pa.array(np.arange(first + at, first + at + len(some), dtype=np.int32)), lists], ["lang", "idx", "row"])
+            some = [x[at : at + 64] for x in both]
+            ends = pa.array(np.arange(len(some[0]) + 1, dtype=np.int32) * some[0].shape[1])
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x.ravel())) for x in some]
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(some[0]), pa.string()), pa.array(np.arange(first + at, first + at + len(some[0]), dtype=np.int32)), *lists], ["lang", "idx", "row", "alone"])
 
     key, held = None, []
     for batch in lean(batches):
@@ -224,8 +229,10 @@ class Audit:
         columns = ["lang", "block", "part", "rows", "idx", "term", "p"]
         seeds = seeds.withColumns({"term": F.lit(None).cast("string"), "p": F.coalesce("p0", F.lit(1))}).select(*columns)
         dense = seeds.unionByName(cells.select(*columns)).repartitionByRange("lang", "block", "part").sortWithinPartitions("lang", "block", "part", F.col("term").asc_nulls_first(), "idx")
-        partial = dense.mapInArrow(_rows, "lang string, idx int, row array<long>")
-        summed = partial.select("lang", "idx", F.posexplode("row").alias("peer", "x")).where("idx <> peer").groupBy("lang", "idx", "peer").agg(F.sum("x").alias("x"))
+        partial = dense.mapInArrow(_rows, "lang string, idx int, row array<long>, alone array<long>")
+        places = partial.select("lang", "idx", F.posexplode(F.arrays_zip("row", "alone")).alias("peer", "x")).where("idx <> peer")
+        sides = F.array(F.struct("idx", "peer", F.col("x.row").alias("x")), F.struct(F.col("peer").alias("idx"), F.col("idx").alias("peer"), F.col("x.alone").alias("x")))
+        summed = places.select("lang", F.inline(sides)).groupBy("lang", "idx", "peer").agg(F.sum("x").alias("x"))
         name = lambda idx, p0, *more: self.groups.select("lang", F.col("idx").alias(idx), F.col("source").alias(f"{idx}_source"), F.col("p0").alias(p0), *more)
         hint = F.broadcast if self.few else (lambda df: df)
         both = summed.join(hint(name("idx", "__p", "v")), ["lang", "idx"]).join(hint(name("peer", "__q")), ["lang", "peer"])
