@@ -48,7 +48,8 @@ def coarse_tokens(c: Column) -> Column:
     """Lower-case ASCII words, and CJK runs followed by their 2- and 3-character pieces (short runs come twice)."""
     found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(COARSE), F.lit(0))
     pieces = F.transform(found, lambda t: F.when(t >= "\u4e00", F.concat(F.array(t), grams(t, 2), grams(t, 3))).otherwise(F.array(t)))
-    return F.flatten(pieces)
+    # most texts hold no CJK: only others are taken apart further
+    return F.when((F.length(c) < F.octet_length(c)) & F.rlike(c, F.lit("[\\u4e00-\\u9fff]")), F.flatten(pieces)).otherwise(found)
 
 
 def long_gram_tokens(c: Column) -> Column:

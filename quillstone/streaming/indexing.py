@@ -6,35 +6,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.store import upserted
+from ..operators import bucket_store
+from ..operators.shared import files
 
 
-def stream_upserts(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str], version: str) -> StreamingQuery:
-    """Upsert the Parquet files that appear under source into versions of a table under target.
+def stream_upserts(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: list[str], version: str, buckets: int = 64, keep: int = 2) -> StreamingQuery:
+    """Upsert the Parquet files that appear under source into a bucketed table under target.
 
-    Each batch writes target/v=<batch>, a whole new version, and readers take
-    the newest complete one, so a failed batch leaves the old version intact.
-    A repeated batch overwrites its own version: the result is the same.
+    A batch rewrites the buckets of its keys and nothing else. Its number is
+    the change's tag, so a batch that is repeated after a failure changes
+    nothing; versions that the newest `keep` manifests don't name are deleted.
     """
+    kind = spark.createDataFrame([], schema).schema
 
     def write(batch: DataFrame, number: int) -> None:
-        stored = current(batch.sparkSession, target, before=number)
-        rows = upserted(stored if stored is not None else batch.limit(0), batch, keys, F.col(version))
-        rows.write.mode("overwrite").parquet(f"{target}/v={number}")
+        table = bucket_store.create(batch.sparkSession, target, kind, keys, buckets=buckets)
+        table.upsert(batch, F.col(version), tag=f"{checkpoint}:{number}")
+        table.expire(keep)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest complete version of a streamed table (before a batch), or None."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    done = sorted(int(p.getPath().getName()[2:]) for p in fs.listStatus(path) if p.getPath().getName().startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p.getPath(), "_SUCCESS")))
-    done = [v for v in done if before is None or v < before]
-    return spark.read.parquet(f"{target}/v={done[-1]}") if done else None
+def stream_index(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, buckets: int = 64, keep: int = 2) -> StreamingQuery:
+    """Index the chunks of sources that appear under source as Parquet: unchanged sources are skipped, changed ones replaced as a whole.
+
+    A file holds whole sources; see BucketStore.index() for its columns.
+    """
+    kind = spark.createDataFrame([], schema).schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        table = bucket_store.create(batch.sparkSession, target, kind, ["collection_name", "doc_source", "chunk_id"], by=bucket_store.SOURCE, buckets=buckets)
+        table.index(batch, tag=f"{checkpoint}:{number}")
+        table.expire(keep)
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, target: str) -> DataFrame | None:
+    """The newest version of a streamed table, or None."""
+    fs, root = files(spark, f"{target}/_settings")
+    return bucket_store.load(spark, target).read() if fs.exists(root) else None
 
 
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "2 hours") -> DataFrame:
