@@ -12,13 +12,16 @@ Under a path lie
 search() gives the rows of retrieval.bm25 by MaxScore. No posting of a class can
 add more than its term's idf with max_tf and min_dl (this bound holds for any
 mean length, so it stays valid as the index grows), and no posting of a term
-more than its best class. A question's terms are ordered
-by that bound. The scores of its few rarest postings set a floor: the k-th best
-is at least that. Terms at the end of the order whose bounds together stay under
-the floor can't lift a chunk over it alone, so only chunks of the other terms
-are candidates; those that can't reach the floor even with the rest are dropped,
-and only the remaining ones look their common terms up. So a common term's
-postings are never multiplied by the questions that have it.
+more than its best class. A question's terms are ordered by that bound. The
+scores of its few rarest postings set a floor: the k-th best is at least that.
+Terms at the end of the order whose bounds together stay under the floor can't
+lift a chunk over it alone, so only chunks of the other terms are candidates.
+The whole scores of the best of those raise the floor; candidates that can't
+reach it even with the rest are dropped, and only the remaining ones look their
+common terms up. So a common term's postings are never multiplied by the
+questions that have it. Where all postings of all questions are few (their
+number is known from the terms), they are summed up as they are: the rows are
+the same, and the steps above would cost more than they save.
 """
 
 from __future__ import annotations
@@ -36,8 +39,15 @@ from .shared import written
 #: Scores are compared with this much room, because sums are not rounded before the end.
 EPS = 1e-6
 
-#: The floor is set by a question's first terms with so many postings for each row that is wanted.
-SEEDS = 50
+#: For each row that is wanted: postings of a question's first terms that set the floor, and best candidates that raise it.
+SEEDS = 20
+FIRST = 3
+
+#: Postings of all questions that are summed up without pruning.
+DIRECT = 1 << 25
+
+#: Rows of (question, chunk, term) up to which they are broadcast to the postings.
+LOOKUPS = 500_000
 
 
 @dataclass(frozen=True)
@@ -133,27 +143,39 @@ def search(index: TextIndex, questions: DataFrame, k: int = 10, k1: float = 1.5,
     found = found.withColumn("idf", idf).withColumn("bound", F.col("idf") * F.col("share")).join(few(terms), "term")
     order = Window.partitionBy(*each).orderBy(F.col("bound").desc(), "term")
     found = found.withColumns({"rest": F.sum("bound").over(order.rowsBetween(0, Window.unboundedFollowing)), "before": F.coalesce(F.sum("df").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    asked = written(found.select(*each, "term", "idf", "avg_dl", "bound", "rest", "before"))  # a row for each question's term
+    asked = written(found.select(*each, "term", "df", "idf", "avg_dl", "bound", "rest", "before"))  # a row for each question's term
     part = _share(F.col("tf"), F.col("dl"), k1, b)
 
     def summed(some: DataFrame) -> DataFrame:
         return index.postings.join(few(some), [*keys, "term"]).groupBy(*each, "chunk_id").agg(F.sum(part).alias("part"))
 
-    def kth(scores: DataFrame, name: str) -> DataFrame:
+    def best_of(scores: DataFrame, n: int) -> DataFrame:
         w = Window.partitionBy(*each).orderBy(F.col("part").desc())
-        return scores.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k).where(F.col("__n") == k).select(*each, F.col("part").alias(name))
+        return scores.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n)
 
-    floors = kth(summed(asked.where(F.col("before") < SEEDS * k)), "floor")
+    def looked_up(rows: DataFrame, some: DataFrame) -> DataFrame:
+        """What some terms add to rows (qid, keys, chunk_id)."""
+        wanted = rows.select(*each, "chunk_id").join(few(some), each)
+        return index.postings.join(small(wanted, LOOKUPS), [*keys, "term", "chunk_id"]).groupBy(*each, "chunk_id").agg(F.sum(part).alias("part"))
+
+    if (asked.agg(F.sum("df")).first()[0] or 0) <= DIRECT:
+        return _ranked(summed(asked), each, k)
+    floors = best_of(summed(asked.where(F.col("before") < SEEDS * k)), k).where(F.col("__n") == k).select(*each, F.col("part").alias("floor"))
     asked = written(asked.join(few(floors), each, "left").withColumn("needed", F.coalesce(F.col("rest") >= F.col("floor") - EPS, F.lit(True))))
-    found = written(summed(asked.where("needed")))
-    left = asked.where("not needed").groupBy(*each).agg(F.sum("bound").alias("left"))
-    raised = kth(found, "raised")
-    hopeful = found.join(few(left), each, "left").join(few(raised), each, "left")
-    hopeful = written(hopeful.where(F.col("part") + F.coalesce("left", F.lit(0.0)) >= F.coalesce(F.col("raised"), F.lit(0.0)) - EPS).select(*each, "chunk_id", "part"))
     common = asked.where("not needed").select(*each, "term", "idf", "avg_dl")
-    lookups = hopeful.select(*each, "chunk_id").join(few(common), each)
-    more = index.postings.join(small(lookups), [*keys, "term", "chunk_id"]).groupBy(*each, "chunk_id").agg(F.sum(part).alias("part"))
-    scored = hopeful.unionByName(more).groupBy(*each, "chunk_id").agg(F.round(F.sum("part"), 8).alias("bm25_raw")).where("bm25_raw > 0")
+    left = asked.groupBy(*each).agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("left"))
+    found = written(summed(asked.where("needed")))
+    first = written(best_of(found, FIRST * k).drop("__n"))
+    whole = first.unionByName(looked_up(first, common)).groupBy(*each, "chunk_id").agg(F.sum("part").alias("part"))
+    raised = best_of(whole, k).where(F.col("__n") == k).select(*each, F.col("part").alias("floor"))
+    hopeful = found.join(few(left), each).join(few(raised), each, "left")
+    hopeful = written(hopeful.where(F.col("part") + F.col("left") >= F.coalesce(F.col("floor"), F.lit(0.0)) - EPS).select(*each, "chunk_id", "part"))
+    more = looked_up(hopeful, common)
+    return _ranked(hopeful.unionByName(more).groupBy(*each, "chunk_id").agg(F.sum("part").alias("part")), each, k)
+
+
+def _ranked(sums: DataFrame, each: Sequence[str], k: int) -> DataFrame:
+    scored = sums.select(*each, "chunk_id", F.round("part", 8).alias("bm25_raw")).where("bm25_raw > 0")
     best = top(scored, k, F.col("bm25_raw"), *each)
     most = F.max("bm25_raw").over(Window.partitionBy(*each))
     return best.select(*each, "chunk_id", "bm25_raw", F.round(F.col("bm25_raw") / most, 8).alias("bm25_score"), "rank")

@@ -65,9 +65,11 @@ def test_text_index_grows_and_shrinks(spark, sf, tmp_path, monkeypatch):
     half = F.pmod(F.xxhash64("chunk_id"), F.lit(2)) == 0
     some = c.where("chunk_id % 3 = 0")
     index = text_index.add(text_index.build(c.where(half), str(tmp_path / "all")), c.where(~half))
-    for seeds in (1, 50):
+    for seeds, direct in ((1, 0), (50, 0), (50, 1 << 25)):
         monkeypatch.setattr(text_index, "SEEDS", seeds)
+        monkeypatch.setattr(text_index, "DIRECT", direct)
         assert rows(text_index.search(index, q, 5)) == rows(retrieval.bm25(c, q, 5))
+    monkeypatch.setattr(text_index, "DIRECT", 0)
     less = text_index.remove(index, some)
     rest = c.where("chunk_id % 3 <> 0")
     assert rows(text_index.search(less, q, 5)) == rows(retrieval.bm25(rest, q, 5))
@@ -76,7 +78,8 @@ def test_text_index_grows_and_shrinks(spark, sf, tmp_path, monkeypatch):
     assert rows(text_index.search(text_index.load(spark, str(tmp_path / "all")), q, 5)) == rows(retrieval.bm25(c, q, 5))
 
 
-def test_bounds_prune(spark, tmp_path):
+def test_bounds_prune(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "DIRECT", 0)
     # a common and a rare word: chunks with the common word alone are no candidates
     texts = [(i, "common " * (1 + i % 3) + ("rare" if i < 20 else f"w{i}")) for i in range(400)]
     c = spark.createDataFrame(texts, "chunk_id int, content string")
