@@ -40,3 +40,25 @@ def hash_embedding(texts: DataFrame, key: str, tokens: Column, dim: int = 1024)
     cells = rows.groupBy(key, "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
     norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v")).cast("double")).alias("norm"))
     return cells.join(norms, key).select(key, "bucket", (F.col("v") / F.col("norm")).alias("weight"))
+
+
+def placed_hash_embedding(texts: DataFrame, key: str, text: Column, dim: int = 1024) -> DataFrame:
+    """(key, bucket, weight) of the non-zero places of the text's hash vector by place, scaled to unit length.
+
+    A token's SHA-256 with its place modulo 23 names its bucket (first four
+    bytes), sign (the fifth) and size (the sixth); the 32 bytes of the whole
+    text's digest add a little each. Blank texts have no rows.
+    """
+    from .text import char_tokens, normalize_whitespace
+
+    byte = lambda digest, i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
+    rows = texts.select(key, normalize_whitespace(text, False).alias("t")).where("t <> ''")
+    tokens = rows.select(key, F.posexplode(char_tokens(F.col("t"))).alias("at", "token")).select(key, F.sha2(F.concat_ws("|", "token", F.col("at") % 23), 256).alias("d"))
+    sign = F.when(byte(F.col("d"), 4) % 2 == 0, 1.0).otherwise(-1.0)
+    own = tokens.select(key, (F.conv(F.substring("d", 1, 8), 16, 10).cast("long") % dim).cast("int").alias("bucket"), (sign * (0.5 + byte(F.col("d"), 5) / 255.0)).alias("v"))
+    whole = rows.select(key, F.sha2("t", 256).alias("d")).select(key, "d", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("i"))
+    share = F.conv(F.substring(F.col("d"), 2 * F.col("i") + 1, F.lit(2)), 16, 10).cast("int")
+    little = whole.select(key, ((F.col("i") * 67 + share) % dim).cast("int").alias("bucket"), ((share / 255.0 - 0.5) * 0.1).alias("v"))
+    cells = own.unionByName(little).groupBy(key, "bucket").agg(F.sum("v").alias("v")).where("v <> 0")
+    norms = cells.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm")).where("norm > 0")
+    return cells.join(norms, key).select(key, "bucket", (F.col("v") / F.col("norm")).alias("weight"))

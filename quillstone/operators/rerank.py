@@ -72,6 +72,36 @@ def neighbours(seeds: DataFrame, ranked: DataFrame, score: str = "retrieval_scor
     return near.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "seed", "chunk_id", F.round(clip01(F.col(score) + 0.02), 8).alias("score"))
 
 
+def supplemented(seeds: DataFrame, ranked: DataFrame, k: int, score: str = "retrieval_score") -> DataFrame:
+    """qid, chunk_id, seed, score: the seeds (seed is null) and the neighbours that they bring in, one after the other in the order of their score.
+
+    A seed brings the best of ranked that is in its document and on its page,
+    at most one place away, and not chosen yet; its score rises by 0.02. That
+    ends when max(2 k, k + 2) chunks are chosen. The fold is over one
+    question's seeds and those near them.
+    """
+    most = max(2 * max(1, k), max(1, k) + 2)
+    by = Window.partitionBy("qid").orderBy(F.col(score).desc(), "chunk_id")
+    numbered = seeds.withColumn("__n", F.row_number().over(by))
+    places = numbered.select("qid", "__n", F.col("chunk_id").alias("seed"), "doc_id", "page_idx", F.explode(F.array(F.col("chunk_index") - 1, F.col("chunk_index"), F.col("chunk_index") + 1)).alias("chunk_index"))
+    option = F.struct((-F.col(score)).alias("o"), "chunk_id")
+    near = places.join(ranked.select("qid", "doc_id", "page_idx", "chunk_index", "chunk_id", score), ["qid", "doc_id", "page_idx", "chunk_index"]).groupBy("qid", "__n", "seed").agg(F.array_sort(F.collect_list(option)).alias("options"))
+    turns = near.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("__n", "seed", "options"))).alias("turns"))
+    start = seeds.groupBy("qid").agg(F.collect_list("chunk_id").alias("chosen")).join(turns, "qid")
+    kind = ranked.schema["chunk_id"].dataType.simpleString()
+    begun = F.struct(F.col("chosen").alias("chosen"), F.array().cast(f"array<struct<seed: {kind}, chunk_id: {kind}, score: double>>").alias("added"))
+
+    def step(acc: Column, turn: Column) -> Column:
+        free = F.filter(turn["options"], lambda o: ~F.array_contains(acc["chosen"], o["chunk_id"]))
+        found = F.get(free, F.lit(0))
+        took = F.struct(F.concat(acc["chosen"], F.array(found["chunk_id"])).alias("chosen"), F.concat(acc["added"], F.array(F.struct(turn["seed"].alias("seed"), found["chunk_id"].alias("chunk_id"), F.round(clip01(-found["o"] + 0.02), 8).alias("score")))).alias("added"))
+        return F.when((F.size(acc["chosen"]) >= most) | (F.size(free) == 0), acc).otherwise(took)
+
+    added = start.select("qid", F.explode(F.aggregate("turns", begun, step, lambda acc: acc["added"])).alias("x")).select("qid", "x.chunk_id", "x.seed", "x.score")
+    own = seeds.select("qid", "chunk_id", F.lit(None).cast(kind).alias("seed"), F.col(score).cast("double").alias("score"))
+    return own.unionByName(added)
+
+
 def protected(candidates: DataFrame, lexical: Column, k: int, pool: int) -> DataFrame:
     """qid, chunk_id, protection_score of lexically strong candidates that a model must not push out."""
     most = min(max(2 * k, 12), max(0, pool - k))
