@@ -104,7 +104,7 @@ def page_splits(documents: DataFrame, pages: str = "page_count", most: int = 200
 
 def read_skills(spark: SparkSession, path: str) -> DataFrame:
     """Skills from Markdown files: the fenced JSON's name, query types and required slots."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     block = F.regexp_extract("value", "(?s)```json\\s*(.*?)```", 1)
     skill = F.from_json(block, "skill_name string, query_types array<string>, required_slots array<string>, tool_chain array<string>")
     return text.select(skill.alias("s")).select("s.*").where("skill_name is not null")
@@ -112,7 +112,7 @@ def read_skills(spark: SparkSession, path: str) -> DataFrame:
 
 def gold_cases(lines: DataFrame) -> DataFrame:
     """Cases of a Markdown table (column value): id, question, keywords; the prefix tells the type."""
-    cells = F.transform(F.split(F.btrim("value", F.lit("| ")), "\\|"), F.trim)
+    cells = F.transform(F.split(F.btrim("value", F.lit("| ")), "\\|"), lambda x: F.trim(x))
     rows = lines.where(F.ltrim("value").startswith("|")).select(cells.alias("c")).where(F.size("c") >= 4)
     kind = F.regexp_extract(F.get("c", F.lit(0)), "^(skill_fact|skill_table|text|table|citation|summary|report|route)_", 1)
     types = F.create_map(*[F.lit(x) for p in (("text", "fact_lookup"), ("skill_fact", "fact_lookup"), ("table", "table_qa"), ("skill_table", "table_qa"), ("citation", "citation_locate"), ("summary", "summarization"), ("report", "report_generation")) for x in p])
