@@ -50,7 +50,7 @@ def reranked(merged: DataFrame, asked: DataFrame, config: Config) -> DataFrame:
     rows = rows.withColumn("rank_score", candidates.recall_score(rows))
     if {"page_idx", "chunk_index"} <= set(rows.columns):
         seeds = retrieval.top(rows, config.top_k, F.col("rank_score"), "qid")
-        near = rerank.neighbours(seeds, rows, "rank_score").groupBy("qid", "chunk_id").agg(F.max("score").alias("near"))
+        near = rerank.supplemented(seeds, rows, config.top_k, "rank_score").where("seed IS NOT NULL").select("qid", "chunk_id", F.col("score").alias("near"))
         rows = rows.join(near, ["qid", "chunk_id"], "left").withColumn("rank_score", F.greatest("rank_score", F.coalesce("near", F.lit(0.0)))).drop("near")
     if config.scorer:
         best = retrieval.top(rows, config.pool, F.col("rank_score"), "qid").select("qid", "chunk_id", "rank")

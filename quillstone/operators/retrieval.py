@@ -175,11 +175,13 @@ def newest(corpus: DataFrame, order: str, n: int, collection: str | None = None,
 def hash_dense(corpus: DataFrame, questions: DataFrame, k: int = 10, dim: int = 1024) -> DataFrame:
     """qid, chunk_id, dense_score, rank where no vectors are given: cosine similarity of the texts' hash vectors.
 
-    Only places where both are not zero meet; the questions' places are a
-    checked set that is broadcast.
+    A chunk's vector is one row, scored where it is against the questions'
+    (nearest.best), so neither pairs nor places of vectors are shuffled.
     """
-    docs = hash_embedding(corpus, "chunk_id", coarse_tokens(F.col("content")), dim)
-    asked = hash_embedding(questions, "qid", coarse_tokens(F.col("question")), dim).withColumnRenamed("weight", "asked")
-    both = docs.join(small(asked, 10 * BROADCAST_ROWS), "bucket").groupBy("qid", "chunk_id").agg(F.sum(F.col("weight") * F.col("asked")).alias("dot"))
-    scored = both.select("qid", "chunk_id", F.round(clip01(F.col("dot")), 6).alias("dense_score")).where("dense_score > 0")
-    return top(scored, k, F.col("dense_score"), "qid")
+    from . import nearest
+
+    def whole(texts: DataFrame, key: str, text: str, name: str) -> DataFrame:
+        cells = hash_embedding(texts, key, coarse_tokens(F.col(text)), dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("cells"))
+        return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))).alias(name))
+
+    return nearest.best(whole(corpus, "chunk_id", "content", "vector"), whole(questions, "qid", "question", "question_vector"), k).where("dense_score > 0")
