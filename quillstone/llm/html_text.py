@@ -189,10 +189,16 @@ def _declared(style: str) -> dict[str, str]:
 
 
 class _Rules:
-    """display and visibility by the page's style elements, looked up by tag, class and id."""
+    """display and visibility by the page's style elements, looked up by tag, class and id.
+
+    Rules of equal selectors are one entry, which holds the weight and value of
+    each property's last rule, and elements of equal tag, classes and id are
+    looked up once.
+    """
 
     def __init__(self):
-        self.by: dict[str, list[tuple]] = {}
+        self.by: dict[str, dict[tuple, dict[str, tuple]]] = {}
+        self.known: dict[tuple, dict[str, str]] = {}
         self.count = 0
 
     def add(self, sheet: str) -> None:
@@ -215,17 +221,26 @@ class _Rules:
             tag = (parts[1] or "*").lower()
             weight = (sum(x[0] == "#" for x in names), sum(x[0] == "." for x in names), tag != "*", self.count)
             self.count += 1
-            self.by.setdefault(names[0] if names else tag, []).append((weight, tag, frozenset(names), values))
+            key = (tag, tuple(sorted(set(names))))
+            # an entry lies under the one of its names that has fewest
+            at = next((n for n in names if key in self.by.get(n, ())), min(names, key=lambda n: len(self.by.get(n, ())), default=tag))
+            self.by.setdefault(at, {}).setdefault(key, {}).update({name: (weight, value) for name, value in values.items()})
 
     def of(self, node: Node) -> dict[str, str]:
         names = {f".{c}" for c in node.attributes.get("class", "").split()}
         if "id" in node.attributes:
             names.add(f"#{node.attributes['id']}")
-        found = [r for key in (*names, node.tag, "*") for r in self.by.get(key, ()) if r[1] in ("*", node.tag) and r[2] <= names]
-        out: dict[str, str] = {}
-        for _, _, _, values in sorted(found, key=lambda r: r[0]):
-            out |= values
-        return out
+        key = (node.tag, *sorted(names))
+        if key not in self.known:
+            best: dict[str, tuple] = {}
+            for name in (*names, node.tag, "*"):
+                for (tag, needed), values in self.by.get(name, {}).items():
+                    if tag in ("*", node.tag) and names.issuperset(needed):
+                        for of, weighed in values.items():
+                            if of not in best or weighed[0] > best[of][0]:
+                                best[of] = weighed
+            self.known[key] = {of: value for of, (_, value) in best.items()}
+        return dict(self.known[key])
 
 
 def _mark(root: Node) -> list[Node]:

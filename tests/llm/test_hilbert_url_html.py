@@ -178,3 +178,25 @@ def test_curve_prunes_more_than_chance(spark, sf):
         return total
 
     assert spans("shard") < 0.7 * spans("chance")
+
+
+@pytest.mark.parametrize("rule", ["p{display:block}", "p.c%d{display:none}", ".a.c%d{display:block}", "#x%d.a{visibility:hidden}"])
+def test_style_rules_take_linear_time(rule):
+    n = 4000
+    style = "".join(rule.replace("%d", str(i)) for i in range(n))
+    body = "".join(f"<p class='a c{i}' id=x{i}>w{i}" for i in range(n))
+    began = time.process_time()
+    text = html_text.text_of(f"<style>{style}</style>{body}")
+    assert time.process_time() - began < 3
+    assert len(text.split()) == (n if "block" in rule else 0)
+
+
+def test_style_rules_by_weight_and_order():
+    def shown(style, body="<p class='a b' id=i>x</p>"):
+        return html_text.text_of(f"<style>{style}</style>{body}").strip() == "x"
+
+    assert not shown("p.a{display:none}") and shown("p.a{display:none} p.a{display:block}")
+    # a repeated selector keeps the place of a property that only its first rule sets
+    assert not shown("p.a{display:block} p.b{display:none} p.a{visibility:visible}")
+    assert shown("p.b{display:none} p.a{display:block}") and shown(".a.b{display:block} p{display:none} .a{display:none}")
+    assert shown("#i{display:block} .a.b{display:none}") and not shown(".b.a{display:none} *{display:block}")
