@@ -71,6 +71,25 @@ def _fits(rows: pa.RecordBatch, asked: pd.DataFrame, which: np.ndarray, filters:
     return out
 
 
+def filled(cells: DataFrame, key: str, name: str, dims: int) -> DataFrame:
+    """(key, name): whole vectors of cells (key, bucket, weight), a row each."""
+    kind = cells.schema[key].dataType.simpleString()
+    gathered = cells.groupBy(key).agg(F.collect_list("bucket").alias("at"), F.collect_list("weight").alias("w"))  # at most dims of each
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 1 << 10):
+                part = batch.slice(first, 1 << 10)
+                at, w = part.column("at"), part.column("w")
+                sizes = np.diff(np.asarray(at.offsets))
+                out = np.zeros((part.num_rows, dims))
+                out[np.repeat(np.arange(part.num_rows), sizes), at.flatten().to_numpy()] = w.flatten().to_numpy()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dims), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(key), lists], [key, name])
+
+    return gathered.mapInArrow(fill, f"{key} {kind}, {name} array<double>")
+
+
 def best(rows: DataFrame, questions: DataFrame, k: int, digits: int = 6, filters: Sequence[str] = (), cells: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, dense_score, rank of the k rows (chunk_id, vector) nearest to each question (qid, question_vector).
 

@@ -181,7 +181,6 @@ def hash_dense(corpus: DataFrame, questions: DataFrame, k: int = 10, dim: int =
     from . import nearest
 
     def whole(texts: DataFrame, key: str, text: str, name: str) -> DataFrame:
-        cells = hash_embedding(texts, key, coarse_tokens(F.col(text)), dim).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("cells"))
-        return cells.select(key, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("cells", i), F.lit(0.0))).alias(name))
+        return nearest.filled(hash_embedding(texts, key, coarse_tokens(F.col(text)), dim), key, name, dim)
 
     return nearest.best(whole(corpus, "chunk_id", "content", "vector"), whole(questions, "qid", "question", "question_vector"), k).where("dense_score > 0")
