@@ -129,50 +129,69 @@ def split_table(rows: Column, budget: int = 7000) -> Column:
 SEPARATORS = ("\n\n", "\n", "。", "；", "！", "？", "，", "、", ".", ";", "!", "?", ",", " ", "")
 
 
-def _tokens(text: str) -> int:
-    return max(1, -(-len(text) // 4))
-
-
-def _merged(parts: list[str], size: int, overlap: int) -> list[str]:
-    """Runs of parts of at most `size` tokens; a run begins with the last parts of the one before it, up to `overlap` tokens."""
-    out: list[str] = []
-    run: list[str] = []
-    length = 0
-    for part in parts:
-        if run and -(-(length + len(part)) // 4) > size:
-            out.append("".join(run))
-            while run and (length > 4 * overlap or -(-(length + len(part)) // 4) > size):
-                length -= len(run.pop(0))
-        run.append(part)
-        length += len(part)
-    return out + ["".join(run)] if run else out
-
-
-def split_recursively(text: str, size: int = 1024, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Parts of at most `size` tokens, cut at the coarsest separator that serves; it stays at the beginning of what follows it."""
-    at = next(i for i, s in enumerate(separators) if not s or s in text)
+def _merged(parts: list[tuple[int, int]], size: int, overlap: int) -> list[tuple[int, int]]:
+    """Runs of adjoining parts of at most `size` tokens; a run begins with the last parts of the one before it, up to `overlap` tokens."""
+    out: list[tuple[int, int]] = []
+    first = 0
+    for n, (start, stop) in enumerate(parts):
+        begin = parts[first][0]
+        if first < n and stop - begin > 4 * size:
+            out.append((begin, start))
+            while first < n and (start - parts[first][0] > 4 * overlap or stop - parts[first][0] > 4 * size):
+                first += 1
+    return [*out, (parts[first][0], parts[-1][1])] if parts else out
+
+
+def _cut(start: int, stop: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """_merged() of single characters."""
+    step = 4 * size - min(4 * overlap, 4 * size - 1)
+    starts = range(start, max(start + 1, stop - 4 * size + step), step)
+    return [(a, min(a + 4 * size, stop)) for a in starts]
+
+
+def split_offsets(text: str, size: int = 1024, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS, start: int = 0, stop: int | None = None) -> list[tuple[int, int]]:
+    """Places (start, stop) of the parts of a text, of at most `size` tokens (4 characters each), cut at the coarsest separator that serves; it stays at the beginning of what follows it."""
+    stop = len(text) if stop is None else stop
+    at = next(i for i, s in enumerate(separators) if not s or text.find(s, start, stop) >= 0)
     sep = separators[at]
-    parts = [x for x in re.split(f"(?={re.escape(sep)})", text) if x] if sep else list(text)
-    out: list[str] = []
-    run: list[str] = []
-    for part in parts:
-        if _tokens(part) <= size or at + 1 == len(separators):
-            run.append(part)
+    if not sep:
+        return [x for x in _cut(start, stop, size, overlap) if text[x[0] : x[1]].strip()] if stop > start else []
+    places, found = [start], text.find(sep, start, stop)
+    while found >= 0:
+        if found > start:
+            places.append(found)
+        found = text.find(sep, found + 1, stop)
+    out: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []
+    for a, b in zip(places, [*places[1:], stop], strict=True):
+        if b - a <= 4 * size:
+            run.append((a, b))
         else:
-            out += _merged(run, size, overlap) + split_recursively(part, size, overlap, separators[at + 1 :])
+            out += _merged(run, size, overlap) + split_offsets(text, size, overlap, separators[at + 1 :], a, b)
             run = []
-    return [x for x in out + _merged(run, size, overlap) if x.strip()]
+    return [x for x in out + _merged(run, size, overlap) if text[x[0] : x[1]].strip()]
 
 
-def recursive_parts(text: Column, size: int = 1024, overlap: int = 200) -> Column:
-    """array<string>: the parts of a text with its white space in order, by split_recursively()."""
+def split_recursively(text: str, size: int = 1024, overlap: int = 200) -> list[str]:
+    """The parts of split_offsets()."""
+    return [text[a:b] for a, b in split_offsets(text, size, overlap)]
+
+
+def recursive_spans(text: Column, size: int = 1024, overlap: int = 200) -> Column:
+    """array<struct<start, stop>>: split_offsets() of a text, from 0."""
+
+    @F.pandas_udf("array<struct<start: int, stop: int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"start": a, "stop": b} for a, b in split_offsets(t, size, overlap)] if t else [] for t in texts], dtype="object")
+
+    return spans(text)
 
-    @F.pandas_udf("array<string>")
-    def parts(texts: pd.Series) -> pd.Series:
-        return pd.Series([split_recursively(t, size, overlap) if t else [] for t in texts], dtype="object")
 
-    split = parts(normalize_whitespace(text))
-    return F.filter(F.transform(split, lambda x: normalize_whitespace(x)), lambda x: x != "")
+def recursive_parts(text: Column, size: int = 1024, overlap: int = 200) -> Column:
+    """array<string>: the parts of a text with its white space in order."""
+    flat = normalize_whitespace(text)
+    parts = F.transform(recursive_spans(flat, size, overlap), lambda x: normalize_whitespace(F.substring(flat, x["start"] + 1, x["stop"] - x["start"])))
+    return F.filter(parts, lambda x: x != "")
 
 
 def page_range(pages: Column) -> Column:
@@ -181,31 +200,19 @@ def page_range(pages: Column) -> Column:
     return F.struct(F.coalesce(F.array_min(known), F.lit(-1)).alias("first"), F.coalesce(F.array_max(known), F.lit(-1)).alias("last"))
 
 
-def _locate(part: Column, text: Column, start: Column) -> Column:
-    """The place (from 1) of a part in a text at or after start; 0 if it isn't there."""
-    return F.call_function("locate", part, text, start)
-
-
-def with_pages(parts: Column, sources: Column) -> Column:
-    """array<struct<content, pages>>: the pages of the sources (text, page_idx) that each part overlaps, in the sources joined by spaces.
+def with_pages(parts: DataFrame, sources: DataFrame, *keys: str, width: int = 4096) -> DataFrame:
+    """parts (keys, part, start, stop) with pages: the first and last page of the sources (keys, start, stop, page_idx) that each overlaps.
 
-    A part is looked for behind the beginning of the one before it, then from
-    the start; one that isn't there has the pages of all sources.
+    Both are places in the same text. They meet by a join on the stretches of
+    `width` characters that they touch, so no part is compared with all sources.
     """
-    flat = F.transform(sources, lambda s: F.struct(normalize_whitespace(s["text"], False).alias("text"), s["page_idx"].alias("page_idx")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,page:int>>").alias("spans"))
-    spans = F.aggregate(flat, none, lambda acc, s: F.struct((acc["at"] + F.length(s["text"]) + 1).alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(s["text"])).alias("stop"), s["page_idx"].cast("int").alias("page")))).alias("spans")), lambda acc: acc["spans"])
-    text = F.array_join(F.transform(flat, lambda s: s["text"]), " ")
-
-    def placed(acc: Column, part: Column) -> Column:
-        found = F.coalesce(F.nullif(_locate(part, text, acc["next"]), F.lit(0)), _locate(part, text, F.lit(1)))
-        inside = F.filter(spans, lambda s: (found == 0) | ((s["stop"] > found - 1) & (s["start"] < found - 1 + F.length(part))))
-        pages = page_range(F.transform(inside, lambda s: s["page"]))
-        return F.struct(F.when(found > 0, found + 1).otherwise(acc["next"]).cast("int").alias("next"), F.concat(acc["out"], F.array(pages)).alias("out"))
-
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<first:int,last:int>>").alias("out"))
-    pages = F.aggregate(F.transform(parts, lambda p: normalize_whitespace(p, False)), start, placed, lambda acc: acc["out"])
-    return F.arrays_zip(parts.alias("content"), pages.alias("pages"))
+    touched = lambda df: df.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.greatest("stop", F.col("start") + 1) - 1) / width))))
+    own = touched(parts.select(*keys, "part", "start", "stop"))
+    other = touched(sources.where("page_idx >= 0").select(*keys, "start", "stop", "page_idx")).withColumnsRenamed({"start": "__start", "stop": "__stop"})
+    met = own.join(other, [*keys, "__bin"]).where((F.col("__start") < F.col("stop")) & (F.col("__stop") > F.col("start")))
+    pages = met.groupBy(*keys, "part").agg(F.min("page_idx").alias("first"), F.max("page_idx").alias("last"))
+    none = lambda c: F.coalesce(F.col(c), F.lit(-1)).cast("int").alias(c)
+    return parts.join(pages, [*keys, "part"], "left").withColumn("pages", F.struct(none("first"), none("last"))).drop("first", "last")
 
 
 def structured_chunks(blocks: DataFrame, size: int = 1024, overlap: int = 200, table_budget: int = 7000) -> DataFrame:
@@ -223,11 +230,14 @@ def structured_chunks(blocks: DataFrame, size: int = 1024, overlap: int = 200, t
     ends = (F.col("type") == "table") | ((F.col("type") == "title") & (F.col("level") > 0))
     rows = rows.withColumn("run", F.sum(ends.cast("int")).over(w))
     texts = rows.where((F.col("type") != "table") & (normalize_whitespace(F.col("text"), False) != ""))
-    runs = texts.groupBy("doc", "run").agg(F.min("place").alias("place"), F.array_sort(F.collect_list(F.struct("place", "text", "page_idx"))).alias("sources"), *[F.max_by(h, "place").alias(h) for h in heads])
-    merged = F.array_join(F.transform("sources", lambda s: normalize_whitespace(s["text"], False)), "\n\n")
-    parts = runs.withColumn("parts", recursive_parts(merged, size, overlap))
-    parts = parts.select("doc", "place", *heads, F.posexplode(with_pages(F.col("parts"), F.col("sources"))).alias("part", "x"))
-    text = parts.select("doc", "place", "part", *heads, F.lit("text").alias("chunk_type"), "x.content", F.col("x.pages.first").alias("page_idx"), F.concat_ws("-", "x.pages.first", "x.pages.last").alias("page_range"), *[F.lit("").alias(n) for n in ("table_id", "sub_table_id", "table_header_text")])
+    texts = texts.withColumn("text", normalize_whitespace(F.col("text"), False))
+    before = Window.partitionBy("doc", "run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    # where each source begins in the run's text, in which a line break stands between two
+    sources = texts.withColumn("start", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).withColumn("stop", F.col("start") + F.length("text"))
+    runs = texts.groupBy("doc", "run").agg(F.min("place").alias("place"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda s: s["text"]), "\n").alias("text"), *[F.max_by(h, "place").alias(h) for h in heads])
+    parts = runs.select("doc", "run", "place", *heads, "text", F.posexplode(recursive_spans(F.col("text"), size, overlap)).alias("part", "x")).select("doc", "run", "place", *heads, "part", "x.*", normalize_whitespace(F.substring("text", F.col("x.start") + 1, F.col("x.stop") - F.col("x.start"))).alias("content")).where("content <> ''")
+    parts = with_pages(parts, sources, "doc", "run", width=4 * size)
+    text = parts.select("doc", "place", "part", *heads, F.lit("text").alias("chunk_type"), "content", F.col("pages.first").alias("page_idx"), F.concat_ws("-", "pages.first", "pages.last").alias("page_range"), *[F.lit("").alias(n) for n in ("table_id", "sub_table_id", "table_header_text")])
     tables = rows.where((F.col("type") == "table") & (F.size("rows") > 0)).select("doc", "place", *heads, "page_idx", "table_id", F.posexplode(split_table(F.col("rows"), table_budget)).alias("part", "rows"))
     table = tables.select("doc", "place", "part", *heads, F.lit("table").alias("chunk_type"), markdown(F.col("rows")).alias("content"), F.col("page_idx").cast("int").alias("page_idx"), F.concat_ws("-", "page_idx", "page_idx").alias("page_range"), "table_id", F.concat_ws("_", "table_id", F.col("part") + 1).alias("sub_table_id"), F.array_join(F.get("rows", F.lit(0)), " | ").alias("table_header_text")).where("content <> ''")
     out = text.unionByName(table)

@@ -1,8 +1,11 @@
 """Operators against literals and plain restatements: chunker, contents, snippets, slots, candidates."""
 
 import random
+import re
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as X
@@ -15,7 +18,7 @@ def test_recursive_parts_hold_the_text_within_the_size():
         text = "".join(rng.choice(["word ", "a", "。", "\n", "\n\n", ", ", "长", "x" * 50, ". "]) for _ in range(rng.randint(1, 300)))
         size, overlap = rng.choice([(8, 0), (16, 4), (64, 20)])
         parts = chunking.split_recursively(text, size, overlap)
-        assert all(chunking._tokens(p) <= size for p in parts)
+        assert all(len(p) <= 4 * size for p in parts)
         assert all(p in text for p in parts)
         if overlap == 0:
             assert "".join("".join(parts).split()) == "".join(text.split())
@@ -168,3 +171,47 @@ def test_entities(spark):
     rows = ["&eacute;&#8217;&#x41; &amp;lt; &nbsp;|&copy;&unknown; & &;", "plain", None, "&#55296;&#0;&#1114112;", "&#128512;x"]
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "c string").select(unescape(F.col("c"))).collect()]
     assert got == ["é’A &lt;  |©&unknown; & &;", "plain", None, "&#55296;&#0;&#1114112;", "😀x"]
+
+
+def _plainly(text, size, overlap, separators=chunking.SEPARATORS):
+    """The splitter part by part, as strings."""
+    at = next(i for i, s in enumerate(separators) if not s or s in text)
+    sep = separators[at]
+    parts = [x for x in re.split(f"(?={re.escape(sep)})", text) if x] if sep else list(text)
+
+    def merged(parts):
+        out, run, length = [], [], 0
+        for part in parts:
+            if run and length + len(part) > 4 * size:
+                out.append("".join(run))
+                while run and (length > 4 * overlap or length + len(part) > 4 * size):
+                    length -= len(run.pop(0))
+            run.append(part)
+            length += len(part)
+        return out + ["".join(run)] if run else out
+
+    out, run = [], []
+    for part in parts:
+        if len(part) <= 4 * size or not sep:
+            run.append(part)
+        else:
+            out += merged(run) + _plainly(part, size, overlap, separators[at + 1 :])
+            run = []
+    return [x for x in out + merged(run) if x.strip()]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab\n 。.,;é", max_size=120), st.integers(1, 6), st.integers(0, 4))
+def test_offsets_equal_the_splitter_by_strings(text, size, overlap):
+    if text:
+        assert chunking.split_recursively(text, size, overlap) == _plainly(text, size, overlap)
+        assert all(0 <= a < b <= len(text) and b - a <= 4 * size for a, b in chunking.split_offsets(text, size, overlap))
+
+
+def test_pages_of_texts_that_occur_twice(spark):
+    """The same paragraph on three pages: each part has the page it lies on."""
+    para = "the same words stand on every page of this document here."
+    blocks = [("d", i, "text", para, i + 1, None, None) for i in range(3)] + [("d", 3, "text", "the end", None, None, None), ("e", 0, "text", para, 7, None, None)]
+    b = spark.createDataFrame(blocks, "doc string, place int, type string, text string, page_idx int, rows array<array<string>>, table_id string")
+    got = [(r["doc"], r["content"], r["page_range"]) for r in chunking.structured_chunks(b, 16, 0, 60).orderBy("doc", "chunk_index").collect()]
+    assert got == [("d", para, "1-1"), ("d", para, "2-2"), ("d", f"{para}", "3-3"), ("d", "the end", "-1--1"), ("e", para, "7-7")]
