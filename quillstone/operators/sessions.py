@@ -65,8 +65,8 @@ def saved_turn(tables: dict[str, DataFrame], turn: DataFrame) -> dict[str, DataF
     """The tables messages, traces, evaluations and sessions after a turn.
 
     turn: session_id, collection_name, place, question, answer, decision,
-    query_type, confidence, trace, metrics, created_at; a row for each session
-    that gained one. A turn is two messages, a trace and an evaluation, with
+    query_type, confidence, trace, metrics, created_at; a session may have
+    gained several. A turn is two messages, a trace and an evaluation, with
     ids made from session and place, so that a turn saved twice is there once;
     its session is inserted or touched.
     """
@@ -86,7 +86,7 @@ def saved_turn(tables: dict[str, DataFrame], turn: DataFrame) -> dict[str, DataF
         "messages": added(tables["messages"], user.unionByName(answer), "message_id"),
         "traces": added(tables["traces"], trace, "trace_id"),
         "evaluations": added(tables["evaluations"], grade, "evaluation_id"),
-        "sessions": touched(tables["sessions"], turn.select("session_id", "collection_name", F.col("created_at").alias("updated_at"))),
+        "sessions": touched(tables["sessions"], turn.groupBy("session_id").agg(F.max_by("collection_name", "created_at").alias("collection_name"), F.max("created_at").alias("updated_at"))),
     }
 
 

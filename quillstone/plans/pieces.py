@@ -169,7 +169,7 @@ LATEST_ASSISTANT = "SELECT conv_id AS session_id, max(turn) AS place FROM conver
 
 
 def save_turn(spark, sf_dir):
-    """Every turn saved, the second half of them twice: the rows of each table, and digests of their ids."""
+    """Every turn saved, a third of them twice: the rows and sessions of each table."""
     t = sessions.turns(messages(spark, sf_dir))
     t = t.select("session_id", F.lit("c").alias("collection_name"), F.col("turn").cast("long").alias("place"), "question", F.col("answer_summary").alias("answer"), F.lit("answer").alias("decision"), F.lit("fact_lookup").alias("query_type"), F.lit(0.5).alias("confidence"), F.lit("{}").alias("trace"), F.lit("{}").alias("metrics"), F.col("turn").cast("long").alias("created_at"))
     empty = {
@@ -179,10 +179,9 @@ def save_turn(spark, sf_dir):
         "sessions": "session_id long, collection_name string, updated_at long",
     }
     tables = {k: spark.createDataFrame([], v) for k, v in empty.items()}
-    first = t.where("place = 1")
-    tables = sessions.saved_turn(tables, first)
+    tables = sessions.saved_turn(tables, t)
     # a turn that is saved again is there once
-    tables = sessions.saved_turn(tables, first)
+    tables = sessions.saved_turn(tables, t.where("place % 3 = 0"))
     out = None
     for k in ("messages", "traces", "evaluations", "sessions"):
         n = tables[k].agg(F.count("*").alias("n"), F.count_distinct("session_id").alias("n_sessions")).select(F.lit(k).alias("table_name"), "n", "n_sessions")
@@ -190,14 +189,14 @@ def save_turn(spark, sf_dir):
     return out
 
 
-SAVE_TURN = f"""WITH {_TURNS}, n AS (SELECT count(*) AS n FROM t WHERE turn = 1)
-SELECT 'messages' AS table_name, 2 * n AS n, n AS n_sessions FROM n UNION ALL SELECT 'traces', n, n FROM n UNION ALL SELECT 'evaluations', n, n FROM n UNION ALL SELECT 'sessions', n, n FROM n"""
+SAVE_TURN = f"""WITH {_TURNS}, n AS (SELECT count(*) AS n, count(DISTINCT session_id) AS s FROM t)
+SELECT 'messages' AS table_name, 2 * n AS n, s AS n_sessions FROM n UNION ALL SELECT 'traces', n, s FROM n UNION ALL SELECT 'evaluations', n, s FROM n UNION ALL SELECT 'sessions', s, s FROM n"""
 
 
 def _focus(spark, sf_dir):
     t = sessions.turns(messages(spark, sf_dir))
     slots = F.struct(F.lit("").alias("company"), F.regexp_extract("question", "(?:19|20)[0-9]{2}", 0).alias("period"), F.lit(" ").alias("metric"), F.lit(None).cast("string").alias("scope"))
-    t = t.select("session_id", "turn", F.when(F.length("answer_summary") % 3 == 0, "pending").otherwise("completed").alias("status"), F.nullif(F.substring("question", 1, 40), F.lit("")).alias("effective_question"), "question", questions.query_type(F.col("question")).alias("query_type"), slots.alias("slots"))
+    t = t.select("session_id", "turn", F.when(F.length("answer_summary") % 3 == 0, "pending").otherwise("completed").alias("status"), F.nullif(F.trim("question"), F.lit("")).alias("effective_question"), "question", questions.query_type(F.col("question")).alias("query_type"), slots.alias("slots"))
     return sessions.last_focus(t)
 
 
@@ -206,7 +205,7 @@ def last_focus(spark, sf_dir):
 
 
 _FOCUS = f"""{_TURNS},
-f AS (SELECT session_id, arg_max(coalesce(nullif(trim(substr(question, 1, 40)), ''), question), turn) AS active_topic, arg_max(coalesce(regexp_extract(question, '(?:19|20)[0-9]{{2}}'), ''), turn) AS period, max(turn) AS updated_at_turn FROM t WHERE length(answer_summary) % 3 <> 0 GROUP BY 1)"""
+f AS (SELECT session_id, arg_max(coalesce(nullif(trim(question), ''), question), turn) AS active_topic, arg_max(coalesce(regexp_extract(question, '(?:19|20)[0-9]{{2}}'), ''), turn) AS period, max(turn) AS updated_at_turn FROM t WHERE length(answer_summary) % 3 <> 0 GROUP BY 1)"""
 FOCUS = f"WITH {_FOCUS} SELECT session_id, active_topic, nullif(trim(period), '') AS period, CAST(NULL AS VARCHAR) AS metric, updated_at_turn FROM f"
 
 

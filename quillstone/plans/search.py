@@ -265,7 +265,7 @@ def greedy_dedupe(spark, sf_dir):
 
 def metadata_boosts(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    boost = rerank.metadata_boost(F.col("question"), F.substring("content", 1, 80), [F.substring("content", 81, 80)], F.col("doc_source"), (F.col("chunk_id") % 7).cast("int"), F.lit(3))
+    boost = rerank.metadata_boost(F.col("question"), F.col("content"), [F.col("lang")], F.col("doc_source"), (F.col("chunk_id") % 7).cast("int"), F.lit(3))
     return c.select("qid", "chunk_id", F.round(boost, 8).alias("metadata_boost"))
 
 
@@ -276,7 +276,7 @@ def _overlap_sql(a: str, b: str) -> str:
 
 
 BOOSTS = f"""WITH {_bm25_sql()}
-SELECT qid, chunk_id, round(least(1.0, 0.35 * ({_overlap_sql('b.text', 'substr(d.text, 1, 80)')}) + 0.20 * ({_overlap_sql('b.text', 'd.source')}) + 0.15 * ({_overlap_sql('b.text', 'substr(d.text, 81, 80)')})
+SELECT qid, chunk_id, round(least(1.0, 0.35 * ({_overlap_sql('b.text', 'd.text')}) + 0.20 * ({_overlap_sql('b.text', 'd.source')}) + 0.15 * ({_overlap_sql('b.text', 'd.lang')})
   + CASE WHEN abs(chunk_id % 7 - 3) <= 1 THEN 0.20 ELSE 0.0 END), 8) AS metadata_boost
 FROM hits JOIN benchmark b ON item_id = qid JOIN documents d ON doc_id = chunk_id"""
 
@@ -367,25 +367,25 @@ COMPARE = f"WITH {_EVIDENCE_SQL} SELECT qid, doc_id AS doc_source, arg_min(chunk
 
 def answer_evaluation(spark, sf_dir):
     e = _evidence(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("n"), F.min_by("content", "rank").alias("content"))
-    answer = F.substring("content", 1, 90)
+    answer = F.col("content")
     decision = F.when(F.col("qid") % 3 == 0, "refuse").when(F.col("qid") % 3 == 1, "clarify").otherwise("answer")
     return e.select("qid", *[c.alias(k) for k, c in evidence.evaluation(answer, decision, F.lit(2), F.col("n")).items()])
 
 
-EVALUATION = f"""WITH {_EVIDENCE_SQL}, a AS (SELECT qid, count(*) AS n, substr(arg_min(content, rank), 1, 90) AS answer, qid % 3 AS m FROM e GROUP BY qid),
+EVALUATION = f"""WITH {_EVIDENCE_SQL}, a AS (SELECT qid, count(*) AS n, arg_min(content, rank) AS answer, qid % 3 AS m FROM e GROUP BY qid),
 s AS (SELECT qid, CASE WHEN m = 1 THEN 1.0 ELSE least(1.0, 2.0 / n) END AS g, CASE m WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 ELSE least(1.0, length(answer) / 120.0) END AS c FROM a)
 SELECT qid, round(g, 4) AS grounding_score, round(c, 4) AS completeness_score, 1.0::DOUBLE AS consistency_score, round((g + c + 1.0) / 3.0, 4) AS overall_score FROM s"""
 
 
 def recall_of_keywords(spark, sf_dir):
-    """Share of the first five words of a question that its evidence has."""
+    """Share of the words of a question that its evidence has."""
     e = _evidence(spark, sf_dir).groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"]), " ").alias("evidence"))
-    k = F.slice(F.array_distinct(X.coarse_tokens(F.col("question"))), 1, 5)
+    k = F.array_distinct(X.coarse_tokens(F.col("question")))
     return asked(spark, sf_dir).join(e, "qid", "left").select("qid", F.round(evidence.keyword_recall(k, F.col("evidence")), 6).alias("recall"))
 
 
 RECALL = rf"""WITH {_EVIDENCE_SQL}, v AS (SELECT qid, lower(string_agg(content, ' ' ORDER BY rank)) AS evidence FROM e GROUP BY qid),
-w AS (SELECT item_id AS qid, list_transform(list_slice(list_sort(list_transform(list_distinct({TOKENS.format(c='text')}), lambda t: {{'i': list_position({TOKENS.format(c='text')}, t), 't': t}})), 1, 5), lambda s: s.t) AS k FROM benchmark)
+w AS (SELECT item_id AS qid, list_distinct({TOKENS.format(c='text')}) AS k FROM benchmark)
 SELECT w.qid, round(len(list_filter(k, lambda x: contains(coalesce(evidence, ''), x))) * 1.0 / len(k), 6) AS recall FROM w LEFT JOIN v ON w.qid = v.qid"""
 
 
