@@ -215,3 +215,21 @@ def test_pages_of_texts_that_occur_twice(spark):
     b = spark.createDataFrame(blocks, "doc string, place int, type string, text string, page_idx int, rows array<array<string>>, table_id string")
     got = [(r["doc"], r["content"], r["page_range"]) for r in chunking.structured_chunks(b, 16, 0, 60).orderBy("doc", "chunk_index").collect()]
     assert got == [("d", para, "1-1"), ("d", para, "2-2"), ("d", f"{para}", "3-3"), ("d", "the end", "-1--1"), ("e", para, "7-7")]
+
+
+def test_value_metrics(spark):
+    """Metrics of `how much` questions: requests, dates, marks and shared endings go."""
+    cases = {
+        "2021年营业收入是多少？": ["营业收入"],
+        "请问在2020年度的净利润为多少": ["净利润"],
+        "查询 2019年上半年 的 研发费用 有多少，其中 管理费用 达到多少": ["研发费用", "管理费用"],
+        "营业收入和净利润分别是多少": ["营业收入和净利润"],
+        "总资产的分别多少；总资产多少": ["总资产"],
+        "和利润多少": ["利润"],
+        "2020年多少": [],
+        "多少": [],
+        "How much is it": [],
+    }
+    df = spark.createDataFrame([(q,) for q in cases], "q string")
+    got = {r["q"]: r["m"] for r in df.select("q", questions.value_metrics(F.col("q")).alias("m")).collect()}
+    assert got == cases
