@@ -125,3 +125,14 @@ def test_stream_equals_batch(spark, sf, tmp_path):
             assert got[i] == want[i]
         else:
             assert i not in got
+
+
+def test_capitals_letter_by_letter(spark):
+    """As SQL's upper has them: the JVM makes two letters of some."""
+    import duckdb
+
+    texts = ["stra\u00dfe", "\ufb01n \u0149 \u1f80\u1fb3", "Abc \u00e9\u00ff\u01c6 \U00010428 1_", "", None, *map(chr, [*range(1, 0xD800), *range(0xE000, 0x10400)])]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.upper_each(F.col("t"))).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t AS SELECT unnest(?) AS t", [texts])
+    assert [r[0] for r in got] == [r[0] for r in con.execute("SELECT upper(t) FROM t").fetchall()]
