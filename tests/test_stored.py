@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone.functions.vectors import cosine
 from quillstone.operators import bucket_store, nearest, retrieval, set_join, text_index, vector_index
 from quillstone.plans.search import asked, corpus, vectors
 from quillstone.streaming import indexing
@@ -56,6 +57,23 @@ def test_vectors_that_are_odd(spark, tmp_path, monkeypatch):
         vector_index.build(v.limit(0), str(tmp_path / "none"))
 
 
+def test_every_vector_is_scored_where_it_is(spark):
+    """No join of pairs: a plan that has one grows with questions times vectors, on the JVM and in a shuffle."""
+    data = [(i, [float(i % 7), float(i % 5) - 2]) for i in range(80)] + [(100, [0.0, 0.0]), (101, None), (102, [1.0, None]), (103, [1.0, 2.0, 3.0]), (104, [-1.0, 0.0])]
+    v = spark.createDataFrame(data, "chunk_id long, vector array<double>")
+    q = spark.createDataFrame([(1, [2.0, 0.1]), (2, None), (3, [0.0, 0.0])], "qid long, question_vector array<double>")
+    pairs = v.crossJoin(q).select("qid", "chunk_id", F.round(F.coalesce(cosine(F.col("vector"), F.col("question_vector")), F.lit(0.0)), 6).alias("dense_score"))
+    for k in (4, 90):
+        found = retrieval.dense(v, q, k)
+        assert rows(found) == rows(retrieval.top(pairs, k, F.col("dense_score"), "qid"))
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    longer = spark.createDataFrame([(9, [2.0, 4.0, 6.0])], q.schema)
+    assert [tuple(r) for r in retrieval.dense(v, q.unionByName(longer), 2).where("qid = 9").orderBy("rank").collect()] == [(9, 103, 1.0, 1), (9, 0, 0.0, 2)]
+    none = q.where("qid = 2")
+    assert [tuple(r) for r in retrieval.dense(v, none, 2).collect()] == [(2, 0, 0.0, 1), (2, 1, 0.0, 2)]
+    assert retrieval.dense(v, q.limit(0), 2).count() == 0
+
+
 # ---- BM25 ---------------------------------------------------------------------
 
 
