@@ -77,6 +77,27 @@ def test_every_vector_is_scored_where_it_is(spark):
 # ---- BM25 ---------------------------------------------------------------------
 
 
+def test_bm25_tasks_grow_with_the_corpus(spark, sf, monkeypatch):
+    """A task's share of the scores is bounded, and no pair of question and chunk is shuffled but its k best."""
+    c, q = corpus(spark, sf), asked(spark, sf)
+    plain, by_source = rows(retrieval.bm25(c, q, 5)), rows(retrieval.bm25(c, q, 5, keys=("collection_name",)))
+    assert len(plain) == 5 * q.count() and len(by_source) > len(plain)
+    seen = []
+    kept = retrieval.written
+    monkeypatch.setattr(retrieval, "written", lambda df: seen.append(df) or kept(df))
+    monkeypatch.setattr(retrieval, "TASK_SCORES", q.count() * 10)
+    monkeypatch.setattr(retrieval, "TASK_TOKENS", 1 << 40)
+    assert rows(retrieval.bm25(c, q, 5)) == plain
+    plan = seen[-1]._jdf.queryExecution().toString()
+    assert f"hashpartitioning(chunk_id#" in plan and f", {c.count() // 10})" in plan
+    physical = plan[plan.index("== Physical Plan =="):]
+    # after the chunks are dealt out the k best of each question are the one thing that moves
+    assert physical.count("Exchange hashpartitioning(chunk_id") == 1 and physical.count("Exchange hashpartitioning(qid") == 1
+    assert not [line for line in physical.splitlines() if "Exchange hashpartitioning" in line and "qid" in line and "chunk_id" in line.split("hashpartitioning(")[1].split(")")[0]]
+    assert rows(retrieval.bm25(c, q, 5, keys=("collection_name",))) == by_source
+    assert retrieval.bm25(c.limit(0), q, 5).count() == 0 and retrieval.bm25(c, q.limit(0), 5).count() == 0
+
+
 def test_text_index_grows_and_shrinks(spark, sf, tmp_path, monkeypatch):
     c, q = corpus(spark, sf), asked(spark, sf)
     c = c.unionByName(spark.createDataFrame([(5000, "src0", "en", ""), (5001, "src1", "en", None)], c.schema))
