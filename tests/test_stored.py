@@ -256,3 +256,30 @@ def test_fallback_moves_the_best_alone(spark, sf, monkeypatch):
     plan = seen[-1]._jdf.queryExecution().toString()
     moved = [line for line in plan[plan.index("== Physical Plan =="):].splitlines() if "Exchange hashpartitioning" in line]
     assert [line.split("hashpartitioning(")[1].split("#")[0] for line in moved if "qid" in line] == ["qid"] and not [line for line in moved if "d_size#" in line]
+
+
+def test_set_join_moves_links_alone(spark, sf, monkeypatch):
+    """Candidates stay in the task of a block: what is written of pairs are links, and there are several blocks and parts."""
+    seen = []
+    kept = set_join.written
+    monkeypatch.setattr(set_join, "written", lambda df: seen.append(kept(df)) or seen[-1])
+    whole = rows(set_join.links(corpus(spark, sf))[0])
+    monkeypatch.setattr(set_join, "BLOCK_TOKENS", 3000)
+    assert rows(set_join.links(corpus(spark, sf))[0]) == whole
+    assert [df.count() for df in seen if {"a", "b"} <= set(df.columns)] == [len(whole)] * 2
+
+
+@pytest.mark.parametrize("postings, at_once", [(0, 5), (4096, 1 << 22)])
+def test_block_of_larger_sets(monkeypatch, postings, at_once):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(set_join, "POSTINGS", postings)
+    monkeypatch.setattr(set_join, "TOKENS_AT_ONCE", at_once)
+    sets = [np.unique(np.random.default_rng(i).integers(0, 1 << 32 if i % 9 == 0 else 40, 1 + i % 30)).astype(np.uint32) for i in range(120)]
+    assert all((set_join.unpacked(set_join.packed(x)) == x).all() for x in sets)
+    block = set_join._Block([pa.RecordBatch.from_arrays([pa.array(range(120)), pa.array([len(x) for x in sets], pa.int32()), pa.array([set_join.packed(x) for x in sets])], ["id", "n", "data"])])
+    for x in sets:
+        common = [len(np.intersect1d(x, y)) for y in sets]
+        at, n = block.partners(x, 70)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == {i: c for i, c in enumerate(common) if 100 * c >= 70 * len(x) and len(sets[i]) >= len(x)}
