@@ -59,6 +59,8 @@ WORDS_AT_ONCE = 1 << 20
 LINKS_PER_TASK = 250_000
 #: Members of a bucket's largest component that stand for it, by the bucket.
 HUBS = 8
+#: Rows of ids or pairs of them up to which they are broadcast (some 50 bytes each) to texts and sets, so that those are not shuffled to meet them.
+BROADCAST_IDS = 2_000_000
 
 _SEED = np.random.default_rng(20240607)
 _A = (_SEED.integers(0, 1 << 32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -246,6 +248,11 @@ def _by_block(of_block):
     return run
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Broadcast, if the rows are few enough (a table that is read again for the count)."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that each node of the links (a, b) reaches.
 
@@ -279,13 +286,15 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
     # one row for each set that differs, with what the search needs
     unique = cut(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
     reps = unique.select("digest", "rep")
-    sketches = unique.select("rep", "sketch")
-    bands = unique.select("rep", F.explode("bands").alias("bucket"))
+    # dealt out once, for the hubs and for the members that meet them
+    bands = unique.select("rep", F.explode("bands").alias("bucket")).repartition("bucket")
     hubs = bands.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).where("hub < other").select("bucket", "hub")
     shared = cut(bands.join(hubs, "bucket"))
 
-    # the full sets of documents that share a bucket, one for each row
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # the sketches and the full sets of documents that share a bucket, of sets one for each row
+    wanted = _few(cut(shared.select("rep").distinct()))
+    sketches = cut(unique.select("rep", "sketch").join(wanted, "rep", "left_semi"))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     sets = cut(_sets(texts, shingle).where(F.size("members") > 0))
 
     def popcount(x: str, y: str):
@@ -297,7 +306,9 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
         near = pairs.distinct().join(sketches.select("rep", F.col("sketch").alias("x")), "rep").join(sketches.select(F.col("rep").alias("hub"), F.col("sketch").alias("y")), "hub")
         near = near.select("rep", "part", F.struct(popcount("x", "y").alias("d"), "hub").alias("h")).where(F.col("h.d") <= most_differing(percent / 100))
         near = cut(near.groupBy("rep", "part").agg(F.min("h").alias("h")).select(F.col("rep").alias("b"), F.col("h.hub").alias("a")))
-        both = near.join(sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")), "a")
+        # sets that no pair asks for stay where they are
+        hub_sets = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x")).join(_few(near.select("a").distinct()), "a", "left_semi")
+        both = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y")).join(_few(near), "b").join(hub_sets, "a")
         common = F.size(F.array_intersect("x", "y"))
         return cut(both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"))
 
@@ -351,5 +362,5 @@ def near_duplicates(documents: DataFrame, shingle: int = 2, percent: int = 80) -
 
 def one_of_each(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of documents that are the first of their class, with all their columns."""
-    gone = near_duplicates(documents, shingle, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = _few(cut(near_duplicates(documents, shingle, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()))
     return documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")

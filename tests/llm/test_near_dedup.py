@@ -96,3 +96,20 @@ def test_long_texts_in_runs(monkeypatch):
     whole = near_dedup.shingle_sets(text, 5)[1]
     monkeypatch.setattr(near_dedup, "WORDS_AT_ONCE", 300)
     assert np.array_equal(near_dedup.shingle_sets(text, 5)[1], whole)
+
+
+def test_texts_are_not_shuffled_to_meet_ids(spark, sf, monkeypatch):
+    """Rows go where they are, past broadcast ids; above the limit the joins shuffle, with the same rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dedup.one_of_each(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(r["doc_id"] for r in kept.collect())
+        monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+        shuffled = sorted(r["doc_id"] for r in near_dedup.one_of_each(docs).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert rows == shuffled and 0 < len(rows) < docs.count()
