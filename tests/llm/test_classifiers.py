@@ -153,3 +153,11 @@ def test_toxicity_odds_past_both_limits(spark):
         model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), toxic_rows=400, ordinary_rows=800)
         means.append(model.score(pa.array([t for _, t, _ in rows])).mean())
     assert np.allclose(means, 0.1, atol=0.03), means
+
+
+def test_toxicity_of_fewer_documents_is_learnt_beside_the_common_one(spark, sf):
+    """Most toxic rows are English; six in ten of the held-out ones in other languages are found too."""
+    big = sf.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{big}/documents.parquet").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("toxic = 1 and lang <> 'en' and crc32(cast(doc_id as string)) % 5 = 0").select("doc_id", "text").collect()
+    model = toxicity.train(*(spark.read.parquet(f"{big}/{name}.parquet").where("crc32(cast(doc_id as string)) % 5 <> 0") for name in ("documents", "labels")))
+    assert len(docs) > 30 and np.mean(model.score(pa.array([r["text"] for r in docs])) >= 0.5) > 0.6
