@@ -10,14 +10,19 @@ Toxic documents are mostly ordinary text. So their passages are found by
 compression too: dictionaries trained on the whole texts of some toxic
 documents compress the others, and windows whose gain is passed by one ordinary
 window in fifty only are the passages. The dictionary that judges is
-trained on those. A second one is trained in the same way on the toxic documents
-that the first one misses, so that what many of them share (a common language's
-insults, say) doesn't crowd out what fewer do. What reads like a passage of
-either is cut out of the ordinary texts before their dictionary is trained,
-because a phrase that it holds gives no gain to anyone.
+trained on those. What reads like a passage is cut out of the ordinary texts
+before their dictionary is trained, because a phrase that it holds gives no gain
+to anyone.
+
+What many documents share (a common language's insults, say) would crowd out
+what fewer do. So texts are told apart by kind, again by compression: their
+beginnings are clustered by the dictionary that compresses them best, and
+each kind has an ordinary and a toxic dictionary of its own. Where a kind has too
+few labelled rows for that, all texts are one kind, with a second toxic dictionary
+for the toxic documents that the first one misses.
 
 A document's score is a logistic function of how many windows reach each gain,
-under either dictionary.
+with weights for all kinds and deviations for each.
 It is fitted on gains that each labelled document has under dictionaries it
 was not in (FOLDS parts), so the thresholds are calibrated for unseen texts.
 
@@ -61,6 +66,14 @@ QUANTILE = 0.98
 FOLDS = 4
 #: Gains at which windows are counted.
 GAINS = (1, 2, 3, 4, 5, 6, 8)
+#: Bytes of a text's beginning by which its kind is told, and of a kind's dictionary of them.
+HEAD_BYTES, HEADS_BYTES = 768, 4096
+#: Clusters that are sought, and rounds of the search; those are joined that compress each other's texts with less than this share more bytes.
+CLUSTERS, ROUNDS, UNLIKE = 8, 6, 0.1
+#: Clusters with fewer rows of a class join the nearest; with fewer in a kind than the second number, all texts are one kind.
+FEW_ROWS, KIND_ROWS = 20, 60
+#: How easily a kind's weights differ from those of all.
+KIND_SHARE = 0.5
 #: Bytes of text of which the windows are held at once.
 BLOCK = STEP << 16
 
@@ -108,28 +121,54 @@ def _dictionary(samples: Sequence[bytes], size: int, segment: int, gram: int) ->
 
 
 @dataclass
-class ToxicityModel:
+class Kind:
+    """Texts of one kind: the dictionary of beginnings that it is told by, the ordinary one and the toxic ones."""
+
+    heads: bytes
     ordinary: bytes
-    toxic: bytes
+    toxic: list[bytes]
+
+
+@dataclass
+class ToxicityModel:
+    kinds: list[Kind]
     weights: np.ndarray | None = None
-    second: bytes = b""
 
     def __post_init__(self):
         self._ready = None
 
     def __getstate__(self):
-        return {"ordinary": self.ordinary, "toxic": self.toxic, "weights": self.weights, "second": self.second, "_ready": None}
+        return {"kinds": self.kinds, "weights": self.weights, "_ready": None}
+
+    @property
+    def ordinary(self) -> bytes:
+        """The ordinary dictionary of the kind that most texts are of."""
+        return self.kinds[0].ordinary
+
+    @property
+    def toxic(self) -> bytes:
+        return self.kinds[0].toxic[0]
+
+    @property
+    def second(self) -> bytes:
+        return b"".join(self.kinds[0].toxic[1:])
 
     def gains(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(n + 1 offsets of the texts' windows, gain of each window) of lower-cased texts of a piece."""
-        return _gains(texts, *self._compressors()[:2])
+        """(n + 1 offsets of the texts' windows, gain of each window) of lower-cased texts of a piece, by the first kind's first dictionary."""
+        return _gains(texts, *self._judges()[0][:2])
 
     def features(self, texts: pa.Array) -> np.ndarray:
-        return _features(texts, *_gains(texts, *self._compressors()))
+        kind, judges = _nearest([k.heads for k in self.kinds], _heads(texts)), self._judges()
+        out = np.zeros((len(texts), 0 if self.weights is None else len(self.weights)))
+        for k in np.unique(kind):
+            rows = np.flatnonzero(kind == k)
+            own = texts.take(pa.array(rows)) if len(rows) < len(texts) else texts
+            out[rows] = _of_kind(_features(own, *_gains(own, *judges[k])), k, len(judges))
+        return out
 
-    def _compressors(self) -> list[zstandard.ZstdCompressor]:
+    def _judges(self) -> list[list[zstandard.ZstdCompressor]]:
         if self._ready is None:
-            self._ready = [_compressor(x) for x in (self.ordinary, self.toxic + self.ordinary, self.second + self.ordinary)]
+            self._ready = [[_compressor(x + k.ordinary) for x in (b"", *k.toxic)] for k in self.kinds]
         return self._ready
 
     def score(self, texts: pa.Array) -> np.ndarray:
@@ -139,6 +178,67 @@ class ToxicityModel:
         return np.concatenate(out) if out else np.zeros(0)
 
 
+def _of_kind(x: np.ndarray, kind: int, kinds: int) -> np.ndarray:
+    """Features of texts of a kind: those, and where there are kinds, a share of them again in the kind's own columns."""
+    return np.concatenate([x, *(x * (KIND_SHARE * (k == kind)) for k in range(kinds))], 1) if kinds > 1 else x
+
+
+def _heads(texts: pa.Array) -> list[bytes]:
+    raw, offsets = utf8(texts)
+    return [raw[a : min(b, a + HEAD_BYTES)].tobytes().translate(LOWER) for a, b in zip(offsets, offsets[1:])]
+
+
+def _costs(dictionaries: Sequence[bytes], heads: list[bytes]) -> np.ndarray:
+    """Compressed length of each head under each dictionary."""
+    size = np.fromiter(map(len, heads), np.int64, len(heads))
+    raw, ends, some = np.frombuffer(b"".join(heads), np.uint8), np.cumsum(size), size > 0
+    out = np.zeros((len(dictionaries), len(heads)), np.int64)
+    for cost, d in zip(out, dictionaries, strict=True):
+        cost[some] = lengths(_compressor(d), raw, (ends - size)[some], ends[some])
+    return out
+
+
+def _nearest(dictionaries: Sequence[bytes], heads: list[bytes]) -> np.ndarray:
+    """The dictionary that compresses each head best."""
+    return _costs(dictionaries, heads).argmin(0) if len(dictionaries) > 1 else np.zeros(len(heads), np.int64)
+
+
+def _told_apart(heads: list[bytes], toxic: list[bytes]) -> list[bytes]:
+    """A dictionary of each kind, largest first: clusters of ordinary heads (k-means by compressed length), of which near ones are joined."""
+    whole = [h for h in heads if len(h) == HEAD_BYTES]
+    if len(whole) < FEW_ROWS * CLUSTERS:
+        return [b""]
+
+    def trained(found: list[bytes]) -> list[bytes]:
+        kind = _nearest(found, heads)
+        return [d for j in range(len(found)) if (d := _dictionary([h for h, k in zip(heads, kind, strict=True) if k == j], HEADS_BYTES, 32, 8))]
+
+    pick = np.random.default_rng(7)
+    found = [whole[pick.integers(len(whole))]]
+    best = _costs(found, whole)[0].astype(float)
+    while len(found) < CLUSTERS:
+        far = np.clip(best - np.quantile(best, 0.02), 0, None) ** 2 + 1e-9
+        found.append(whole[pick.choice(len(whole), p=far / far.sum())])
+        best = np.minimum(best, _costs(found[-1:], whole)[0])
+    for _ in range(ROUNDS):
+        found = trained(found)
+    while len(found) > 1:
+        costs, n = _costs(found, heads), len(found)
+        kind = costs.argmin(0)
+        rows = np.minimum(*(np.bincount(k, minlength=n) for k in (kind, _nearest(found, toxic))))
+        sums = np.stack([costs[:, kind == j].sum(1) for j in range(n)]) + 1.0
+        unlike = sums / np.diag(sums)[:, None] - 1
+        unlike = (unlike + unlike.T) / 2
+        unlike[rows < FEW_ROWS] -= 1
+        np.fill_diagonal(unlike, np.inf)
+        pair = np.unravel_index(unlike.argmin(), unlike.shape)
+        if unlike[pair] >= UNLIKE:
+            return [found[j] for j in np.argsort(-np.bincount(kind, minlength=n), kind="stable")] if rows.min() >= KIND_ROWS else [b""]
+        both = _dictionary([h for h, k in zip(heads, kind, strict=True) if k in pair], HEADS_BYTES, 32, 8)
+        found = [d for k, d in enumerate(found) if k not in pair] + [both]
+    return [b""]
+
+
 def _padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of lower-cased texts, each with a blank before it and eight after it, so that their last words can match; their n + 1 offsets."""
     raw, offsets = utf8(texts)
@@ -194,7 +294,29 @@ def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0, odds: float |
     """
     bad, good = ([t.encode().translate(LOWER) for t in dict.fromkeys(ts)] for ts in (toxic, ordinary))
     if not bad or not good:
-        return ToxicityModel(b"", b"")
+        return ToxicityModel([])
+    heads = [[t[:HEAD_BYTES] for t in ts] for ts in (bad, good)]
+    found = _told_apart(heads[1], heads[0])
+    of = [[[t for t, k in zip(ts, _nearest(found, hs), strict=True) if k == j] for j in range(len(found))] for ts, hs in zip((bad, good), heads, strict=True)]
+    kinds, rows = [], ([], [])
+    for k, d in enumerate(found):
+        base, judges, apart = _trained(of[0][k], of[1][k], ridge, odds or len(bad) / len(good), len(found) == 1)
+        kinds.append(Kind(d, base, judges))
+        for out, xs in zip(rows, apart, strict=True):
+            out.extend(_of_kind(x, k, len(found)) for x in xs)
+    return ToxicityModel(kinds, _weighed(rows, ridge, odds or len(bad) / len(good)))
+
+
+def _weighed(rows: tuple[list[np.ndarray], list[np.ndarray]], ridge: float, odds: float) -> np.ndarray:
+    """Weights by features of toxic and of ordinary texts."""
+    marks = [np.full(len(x), mark) for xs, mark in zip(rows, (1, 0), strict=True) for x in xs]
+    w = _logistic(np.concatenate(rows[0] + rows[1]), np.concatenate(marks), ridge)
+    w[0] += np.log(odds)  # back to the odds of all rows, so that ordinary texts are left alone
+    return w
+
+
+def _trained(bad: list[bytes], good: list[bytes], ridge: float, odds: float, twice: bool) -> tuple[bytes, list[bytes], tuple[list[np.ndarray], list[np.ndarray]]]:
+    """A kind's ordinary dictionary, its toxic ones (with twice, also one for what the first misses), and features of its texts under dictionaries that they were not in."""
     whole, small = (_dictionary(good, size, 64, 8) for size in (ORDINARY_BYTES, SMALL_BYTES))
     column = lambda ts: pa.array([t.decode() for t in ts], pa.string())
 
@@ -243,20 +365,15 @@ def fit(toxic: list[str], ordinary: list[str], ridge: float = 1.0, odds: float |
         none = np.zeros((0, 2 + len(passages) * (2 * len(GAINS) + 2)))
         return tuple([np.concatenate([none, *under(base, judges[f], of(ts, f), _features)]) for f in parts] for ts in (bad, good))
 
-    def weighed(rows: tuple[list[np.ndarray], list[np.ndarray]]) -> np.ndarray:
-        marks = [np.full(len(x), mark) for xs, mark in zip(rows, (1, 0), strict=True) for x in xs]
-        w = _logistic(np.concatenate(rows[0] + rows[1]), np.concatenate(marks), ridge)
-        w[0] += np.log(odds or len(bad) / len(good))  # back to the odds of all rows, so that ordinary texts are left alone
-        return w
-
-    common = searched(whole, [of(bad, f) for f in parts])
-    rows = apart(whole, common)
-    w = weighed(rows)
-    missed = [[t for t, s in zip(of(bad, f), rows[0][f] @ w, strict=True) if s < 0] for f in parts]
-    rarer = searched(small, missed)
-    toxic, second = trained(common), trained(rarer)
-    base = _dictionary([w for ws in under(small, [toxic + second], good, rest) for w in ws], ORDINARY_BYTES, 64, 8) or whole
-    return ToxicityModel(base, toxic, weighed(apart(base, common, rarer)), second)
+    passages = [searched(whole, [of(bad, f) for f in parts])]
+    if twice:
+        rows = apart(whole, *passages)
+        w = _weighed(rows, ridge, odds)
+        missed = [[t for t, s in zip(of(bad, f), rows[0][f] @ w, strict=True) if s < 0] for f in parts]
+        passages.append(searched(small, missed))
+    toxic = [trained(p) for p in passages]
+    base = _dictionary([w for ws in under(small, [b"".join(toxic)], good, rest) for w in ws], ORDINARY_BYTES, 64, 8) or whole
+    return base, toxic, apart(base, *passages)
 
 
 def train(documents: DataFrame, labels: DataFrame, toxic_rows: int = 1000, ordinary_rows: int = 2000) -> ToxicityModel:

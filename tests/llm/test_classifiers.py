@@ -161,3 +161,29 @@ def test_toxicity_of_fewer_documents_is_learnt_beside_the_common_one(spark, sf):
     docs = spark.read.parquet(f"{big}/documents.parquet").join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("toxic = 1 and lang <> 'en' and crc32(cast(doc_id as string)) % 5 = 0").select("doc_id", "text").collect()
     model = toxicity.train(*(spark.read.parquet(f"{big}/{name}.parquet").where("crc32(cast(doc_id as string)) % 5 <> 0") for name in ("documents", "labels")))
     assert len(docs) > 30 and np.mean(model.score(pa.array([r["text"] for r in docs])) >= 0.5) > 0.6
+
+
+def test_toxicity_is_learnt_for_each_kind_of_texts():
+    """Three languages, of which each has insults of its own: texts are told apart by language, and each one's insults are found."""
+    pick = np.random.default_rng(5)
+    syllables = [["".join(pick.choice(list(letters), 3)) for _ in range(24)] for letters in ("aeinrstl", "oubdgkmv", "éçêchjpy")]
+
+    def text(language: int, insult: bool) -> str:
+        words = ["".join(pick.choice(syllables[language], pick.integers(1, 4))) for _ in range(180)]
+        for at in pick.choice(180, 2) if insult else ():
+            words[at] = ("zwarx", "quixof", "wozilt")[language] + str(pick.choice(syllables[language]))
+        return " ".join(words)
+
+    rows = [(k, bad, text(k, bad)) for k, n in ((0, 160), (1, 80), (2, 80)) for bad in (True, False, False) for _ in range(n)]
+    model = toxicity.fit([t for _, bad, t in rows if bad], [t for _, bad, t in rows if not bad])
+    assert len(model.kinds) == 3
+    for k in range(3):
+        fresh = [text(k, i < 40) for i in range(80)]
+        score = model.score(pa.array(fresh))
+        assert (score[:40] >= 0.5).mean() > 0.9 and (score[40:] < 0.5).mean() > 0.9
+        told = toxicity._nearest([x.heads for x in model.kinds], toxicity._heads(pa.array(fresh)))
+        assert len(set(told)) == 1
+        # scores don't depend on what else is in a piece
+        assert np.allclose(score[:3], [model.score(pa.array([t]))[0] for t in fresh[:3]])
+    mixed = [text(k % 3, k % 2 == 0) for k in range(30)]
+    assert np.allclose(model.score(pa.array(mixed)), [model.score(pa.array([t]))[0] for t in mixed])
