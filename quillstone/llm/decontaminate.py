@@ -61,7 +61,8 @@ def _small(df: DataFrame) -> DataFrame:
 def tokens(text: Column) -> Column:
     """Tokens in lower case; numbers and names with their marks."""
     text = F.regexp_replace(text, "[\x01\x02]", " ")
-    text = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;)] )\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)*", NAME + "$0")
+    # possessive: Java's regex goes a level deeper into the stack for each word of a name otherwise, until that overflows and the executor ends
+    text = F.regexp_replace(text, "(?<=[\\p{L}\\p{N},;)] )\\p{Lu}\\p{Ll}+(?: \\p{Lu}\\p{Ll}+)*+", NAME + "$0")
     text = F.regexp_replace(text, "(?<=\\p{Ll}) (?=\\p{Lu}\\p{Ll})", JOINT)
     text = F.regexp_replace(text, "(?<![\\p{L}\\p{N}.,])[0-9]", NUMBER + "$0")
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}\x01\x02.,]+|[.,](?![0-9])[^\\p{L}\\p{N}\x01]*"), lambda t: t != "")

@@ -167,3 +167,12 @@ def test_equals_brute_force_with_slots(spark):
     usable = {i for i, t in cut(items) if brute_with_slots([(0, t)], [(i, t)])}
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect() if r["item_id"] in usable}
     assert got == want and 30 < len(want) < 150
+
+
+def test_long_runs_of_capitalised_words(spark):
+    """A name of any number of words is one token; so many words used to overflow the stack, which ends an executor."""
+    run, item = "Anna Peter Maria " * 10_000, ITEMS[1][1]
+    assert [r["n"] for r in spark.createDataFrame([("so " + run + "went",)], "text string").select(F.size(decontaminate.tokens(F.col("text"))).alias("n")).collect()] == [3]
+    assert pairs(spark, [(1, "so " + run + item), (2, "so " + run), (3, FILL)]) == {(1, 2)}
+    template = "yesterday morning " + run + "bought 7 apples and Lukas sold 99 pears for 2 dollars at the old market near the river. "
+    assert pairs(spark, [(1, FILL + template)]) == {(1, 1)}
