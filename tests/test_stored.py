@@ -283,3 +283,21 @@ def test_block_of_larger_sets(monkeypatch, postings, at_once):
         common = [len(np.intersect1d(x, y)) for y in sets]
         at, n = block.partners(x, 70)
         assert dict(zip(at.tolist(), n.tolist(), strict=True)) == {i: c for i, c in enumerate(common) if 100 * c >= 70 * len(x) and len(sets[i]) >= len(x)}
+
+
+def test_set_join_neither_deals_out_nor_repeats_sets(spark, sf, monkeypatch):
+    """Blocks come to the sets, so sets are in no shuffle of a block; tokens meet their numbers without a shuffle, or above VOCABULARY with one, for the same links."""
+    seen, met = [], []
+    kept, run = set_join.written, set_join._met
+    monkeypatch.setattr(set_join, "written", lambda df: seen.append(df) or kept(df))
+    monkeypatch.setattr(set_join, "_met", lambda *a: met.append(a) or run(*a))
+    monkeypatch.setattr(set_join, "BLOCK_TOKENS", 8_000)
+    whole = rows(set_join.links(corpus(spark, sf))[0])
+    assert len(met) > 2 and len(whole) > 100
+    plans = [df._jdf.queryExecution().toString() for df in seen]
+    plans = [p[p.index("== Physical Plan ==") :] for p in plans]
+    assert not [p for p in plans if "Exchange" in p and ("block" in p or "task" in p)]
+    ranked = next(p for p, df in zip(plans, seen) if "prefix" in df.columns)
+    assert "Generate explode" not in ranked and not [line for line in ranked.splitlines() if "Exchange hashpartitioning(term" in line]
+    monkeypatch.setattr(set_join, "VOCABULARY", 10)
+    assert rows(set_join.links(corpus(spark, sf))[0]) == whole
