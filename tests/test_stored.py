@@ -322,3 +322,9 @@ def test_fallback_scores_chunks_where_they_are(spark, sf, monkeypatch):
     twice = chunks.unionByName(chunks.withColumn("content", F.lit(" ")))
     both = rows(fallback.scored(twice, q, 4))
     assert {r for r in both} >= set(whole) and len(both) == 2 * len(whole)
+
+
+def test_set_join_takes_rows_that_share_an_id_as_one_set(spark):
+    texts = [(1, "a b c d e f g h i"), (1, "j"), (2, "a b c d e f g h i j k"), (3, "a b c d e f g h x y z")]
+    pairs, _ = set_join.links(spark.createDataFrame(texts, "chunk_id long, content string"))
+    assert rows(pairs) == [(1, 2, 10, 10, 11, 1.0)]
